@@ -37,3 +37,28 @@ def hash128(col: Column) -> Column:
 
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
+
+
+#: 64-bit words of a membership filter: the table that is broadcast has no more rows than this.
+FILTER_WORDS = 1 << 20
+
+
+def likely_members(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """Rows of df whose key (a long) may be among the first column of members: all that are, and few others.
+
+    A blocked Bloom filter of fixed size is broadcast, so rows that can't match are
+    dropped before an exact join shuffles them.  With more members than the filter
+    has room for it drops less, never a member.
+    """
+    def bits(h: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for shift in (24, 32, 40, 48):
+            out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")))
+        return out
+
+    at = lambda h: F.pmod(h, F.lit(FILTER_WORDS)).cast("int")
+    h = F.xxhash64(members.columns[0])
+    words = members.select(at(h).alias("_word_at"), bits(h).alias("b")).groupBy("_word_at").agg(F.bit_or("b").alias("_word"))
+    own = F.xxhash64(key)
+    out = df.withColumn("_word_at", at(own)).join(F.broadcast(words), "_word_at")
+    return out.where(F.col("_word").bitwiseAND(bits(own)) == bits(own)).drop("_word_at", "_word")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, likely_members
 from .components import connected_components
 
 #: Parameters of the sketch: registers, base, rate and largest register value.
@@ -126,10 +126,8 @@ def _sketch_batches(width: int):
 def _set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["rep", "digest", "shingles"])
+            sets = [shingle_set(t.as_py(), width).astype(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     return run
 
@@ -198,8 +196,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     kept is doc_id = component_id.
 
     Null or word-less text: n_shingles 0, its own component.  Null id: the row takes
-    no part in links, component_id null, kept true.  Of an id with several texts,
-    one (smallest digest) takes part in links and all share its component.  Equal sets (exact copies among them) are
+    no part in links, component_id null, kept true.  Rows that repeat an id are
+    one document, linked where any of their texts is.  Equal sets (exact copies among them) are
     one class and compared once.  Very long texts are hashed in slices.  Other
     columns of docs are not read.  An empty table gives an empty result.
     """
@@ -207,10 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = cut(base.mapInArrow(_sketch_batches(width), "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>"))
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes, "digest", "inner").where("doc_id = rep").groupBy("rep").agg(
-        F.min_by(F.struct("digest", "registers", "n_shingles", "bands"), "digest").alias("r")).select(
-        "rep", "r.digest", "r.registers", F.col("r.n_shingles").alias("n"), "r.bands")
+    reps = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("registers", "n_shingles", "bands"), "doc_id").alias("r"))
+               .select("digest", "rep", "r.registers", F.col("r.n_shingles").alias("n"), "r.bands"))
+    classes = reps.select("digest", "rep")
 
     rows = reps.select("rep", F.explode("bands").alias("band"))
     many = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
@@ -221,10 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = stars.where("leader <> rep")
 
     near = pairs.select("leader").union(pairs.select("rep")).distinct().toDF("rep")
-    wanted = base.join(near, base["doc_id"] == near["rep"], "left_semi")
-    sets = wanted.mapInArrow(_set_batches(width), "rep long, digest binary, shingles array<long>")
-    sets = cut(sets.join(reps.join(near, "rep", "left_semi").select("rep", "digest"), ["rep", "digest"], "left_semi")
-               .select("rep", "shingles").distinct())
+    wanted = likely_members(base, F.col("doc_id"), near).join(near, F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = cut(wanted.mapInArrow(_set_batches(width), "rep long, shingles array<long>"))
 
     info = reps.select("rep", "registers", "n")
     judged = (pairs.join(info, "rep").join(info.toDF("leader", "registers_l", "n_l"), "leader")
@@ -232,8 +227,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
               .withColumn("estimate", _estimate("registers_l", "registers", "n_l", "n"))
               .where(F.col("estimate") >= percent / 100 - SLACK)
               .select("leader", "rep"))
+    judged = cut(judged)
     both = F.size(F.array_intersect("shingles", "shingles_l"))
-    linked = cut(judged.join(sets, "rep").join(sets.toDF("leader", "shingles_l"), "leader")
+    leaders = sets.toDF("leader", "shingles_l").join(judged.select("leader").distinct(), "leader", "left_semi")
+    linked = cut(judged.join(sets, "rep").join(leaders, "leader")
                  .where(100 * both >= percent * (F.size("shingles") + F.size("shingles_l") - both))
                  .select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     first = cut(connected_components(linked))
