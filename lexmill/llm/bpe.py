@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NONE = 1 << 60  # rank of a pair that no merge joins
+#: Children of a node of the tree; a word of up to so many pairs is one root over its leaves.
+FAN = 32
 #: Words whose tokens a worker keeps; the table starts anew when it is full.
-WORD_CACHE = 200_000
+WORD_CACHE = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -31,33 +33,35 @@ def byte_alphabet() -> list[str]:
 
 
 class PairTree:
-    """Segment tree of pair ranks; a node holds the least rank below it, ties going left."""
+    """Segment tree of pair ranks with FAN children to a node; a node holds the least rank below it, ties going left."""
 
     def __init__(self, ranks: list[int]):
-        self.leaves = 1 << max(1, (len(ranks) - 1).bit_length())
-        self.node = [_NONE] * self.leaves + ranks + [_NONE] * (self.leaves - len(ranks))
-        for i in range(self.leaves - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        self.levels = [ranks]
+        while len(ranks) > FAN:
+            ranks = [min(ranks[i : i + FAN]) for i in range(0, len(ranks), FAN)]
+            self.levels.append(ranks)
 
     def put(self, at: int, rank: int) -> None:
-        node, i = self.node, at + self.leaves
-        node[i] = rank
-        i >>= 1
-        while i:
-            least = min(node[2 * i], node[2 * i + 1])
-            if node[i] == least:
+        below = self.levels[0]
+        below[at] = rank
+        for level in self.levels[1:]:
+            at //= FAN
+            least = min(below[at * FAN : at * FAN + FAN])
+            if level[at] == least:
                 return
-            node[i] = least
-            i >>= 1
+            level[at] = least
+            below = level
 
     def leftmost_lowest(self) -> int:
         """Position of the leftmost pair of lowest rank, -1 if none can be merged."""
-        node, i = self.node, 1
-        if node[1] == _NONE:
+        top = self.levels[-1]
+        least = min(top)
+        if least == _NONE:
             return -1
-        while i < self.leaves:
-            i = 2 * i if node[2 * i] == node[1] else 2 * i + 1
-        return i - self.leaves
+        at = top.index(least)
+        for level in self.levels[-2::-1]:
+            at = level.index(least, at * FAN)
+        return at
 
 
 class WordBpe:
@@ -75,12 +79,12 @@ class WordBpe:
         self.token = {i: t for t, i in (self.vocab | added).items()}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.space = regex.compile(r"\p{White_Space}+")
         self.alphabet = byte_alphabet()
         self.cache: dict[str, list[int]] = {}
 
     def normalise(self, text: str) -> str:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        # White space of any kind only parts words, so it needn't be made uniform.
+        text = unicodedata.normalize("NFC", text)
         # Character by character, without the rule for a final sigma.
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
@@ -91,13 +95,26 @@ class WordBpe:
         n = len(ids)
         if n < 2:
             return ids
-        merges = self.merges
-        tree = PairTree([merges.get(p, (_NONE,))[0] for p in zip(ids, ids[1:], strict=False)])
+        merges, none = self.merges, (_NONE, 0)
+        ranks = [merges.get(p, none)[0] for p in zip(ids, ids[1:], strict=False)]
+        if n <= FAN:  # one node: its leaves close up instead of being marked
+            while (least := min(ranks)) != _NONE:
+                i = ranks.index(least)
+                ids[i] = new = merges[ids[i], ids[i + 1]][1]
+                del ids[i + 1], ranks[i]
+                if not ranks:
+                    break
+                if i < len(ranks):
+                    ranks[i] = merges.get((new, ids[i + 1]), none)[0]
+                if i:
+                    ranks[i - 1] = merges.get((ids[i - 1], new), none)[0]
+            return ids
+        tree = PairTree(ranks)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         gone = [False] * n
 
         def rank(i: int) -> int:
-            return merges.get((ids[i], ids[right[i]]), (_NONE,))[0] if right[i] < n else _NONE
+            return merges.get((ids[i], ids[right[i]]), none)[0] if right[i] < n else _NONE
 
         while (i := tree.leftmost_lowest()) >= 0:
             j = right[i]
@@ -178,7 +195,7 @@ def bpe_decode(spec: Broadcast, ids: Column) -> Column:
     @F.arrow_udf("string")
     def decode(arrays: pa.Array) -> pa.Array:
         bpe = _of(spec)
-        return pa.array([bpe.decode(a.as_py() or ()) for a in arrays], pa.string())
+        return pa.array([bpe.decode(a.values.to_numpy(zero_copy_only=False).tolist() if a.is_valid else ()) for a in arrays], pa.string())
 
     return decode(ids)
 

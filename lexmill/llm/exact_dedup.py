@@ -32,7 +32,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Hashes whose rows don't all have the same bytes.
     many = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     maybe = likely_members(rows, F.xxhash64("h"), many.select(F.xxhash64("h")))
-    texts = maybe.join(many, "h", "left_semi").select("h", "text").groupBy("h", "text").agg(F.count("*").alias("n"))
+    # An inner join with distinct hashes: Spark would move a semi-join below the filter.
+    texts = maybe.join(many, "h").select("h", "text").groupBy("h", "text").agg(F.count("*").alias("n"))
     split = texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h", F.lit(True).alias("collides"))
 
     # In a colliding hash the group is the text, told apart by its sha256, else the hash alone.

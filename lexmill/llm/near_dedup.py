@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = stars.where("leader <> rep")
 
     near = pairs.select("leader").union(pairs.select("rep")).distinct().toDF("rep")
-    wanted = likely_members(base, F.col("doc_id"), near).join(near, F.col("doc_id") == F.col("rep"), "left_semi")
+    # An inner join with distinct ids: Spark would move a semi-join below the filter.
+    wanted = likely_members(base, F.col("doc_id"), near).join(near, F.col("doc_id") == F.col("rep")).select("doc_id", "text")
     sets = cut(wanted.mapInArrow(_set_batches(width), "rep long, shingles array<long>"))
 
     info = reps.select("rep", "registers", "n")
