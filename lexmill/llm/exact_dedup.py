@@ -21,7 +21,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Exactly one row of a group is kept: of rows that repeat id and text, one.  A null id
     stays only when its group has no other.  Only hashes, ids and counts of all rows
     are shuffled, counted before the shuffle; texts move only for hashes with
-    several rows.  Other columns are not read.  Empty tables give an empty result.
+    several rows.  A group's id and size come from partial aggregates and go to its rows in the
+    last join.  Other columns are not read.  Empty tables give an empty result.
     """
     text = text_or_empty(F.col(text_col))
     text = normalise(text) if normalise else text
@@ -36,10 +37,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = maybe.join(many, "h").select("h", "text").groupBy("h", "text").agg(F.count("*").alias("n"))
     split = texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h", F.lit(True).alias("collides"))
 
-    # In a colliding hash the group is the text, told apart by its sha256, else the hash alone.
-    light = light.join(split, "h", "left").withColumn("part", F.when(F.col("collides"), F.col("text_sha256")).otherwise(F.lit("")))
-    each = light.groupBy("h", "part", "text_sha256", "doc_id").agg(F.count("*").alias("times"))
-    groups = each.groupBy("h", "part").agg(best("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    out = each.join(groups, ["h", "part"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # In a colliding hash the group is the text, told apart by its sha256, else the hash alone: settled on one row a text.
+    each = light.groupBy("h", "text_sha256", "doc_id").agg(F.count("*").alias("times"))
+    own = light.groupBy("h", "text_sha256").agg(best("doc_id").alias("best"), F.count("*").alias("n"))
+    own = own.join(split, "h", "left").withColumn("part", F.when(F.col("collides"), F.col("text_sha256")).otherwise(F.lit("")))
+    groups = own.groupBy("h", "part").agg(best("best").alias("keep_id"), F.sum("n").alias("group_size"))
+    of_text = own.select("h", "text_sha256", "part").join(groups, ["h", "part"]).drop("part")
+    # Nothing is grouped after this join, so that Spark can split the partition of a hot group.
+    out = each.join(of_text, ["h", "text_sha256"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return out.select("doc_id", "keep_id", "group_size",
                       (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
