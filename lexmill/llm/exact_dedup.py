@@ -20,9 +20,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by the bytes themselves.  keep is "smallest" or "largest": the id that stays.
     Exactly one row of a group is kept: of rows that repeat id and text, one.  A null id
     stays only when its group has no other.  Only hashes, ids and counts of all rows
-    are shuffled, counted before the shuffle; texts move only for hashes with
-    several rows.  A group's id and size come from partial aggregates and go to its rows in the
-    last join.  Other columns are not read.  Empty tables give an empty result.
+    are shuffled, counted before the shuffle; texts move only for hashes
+    that may have several rows, each text once from each task.  A group's id and size come
+    from partial aggregates and go to its rows in the last join.  Other columns are not
+    read.  Empty tables give an empty result.
     """
     text = text_or_empty(F.col(text_col))
     text = normalise(text) if normalise else text
@@ -33,8 +34,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Hashes whose rows don't all have the same bytes.
     many = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     maybe = likely_members(rows, F.xxhash64("h"), many.select(F.xxhash64("h")))
-    # An inner join with distinct hashes: Spark would move a semi-join below the filter.
-    texts = maybe.join(many, "h").select("h", "text").groupBy("h", "text").agg(F.count("*").alias("n"))
+    # Rows that pass the filter by chance have one text for their hash, and so need no exact join.
+    texts = maybe.groupBy("h", "text").agg(F.count("*").alias("n"))
     split = texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h", F.lit(True).alias("collides"))
 
     # In a colliding hash the group is the text, told apart by its sha256, else the hash alone: settled on one row a text.
