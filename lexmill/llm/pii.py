@@ -1,7 +1,7 @@
 """PII surrogates: keyed, type-consistent replacements, in DataFrame operations.
 
 Every distinct entity of the corpus gets one surrogate, so mentions stay coreferent; surrogates
-come from a keyed digest in the entity's own format and script; entities whose
+come from a keyed digest and stand in each mention's own format and script; entities whose
 surrogates collide with each other, or with an entity of the corpus, draw again
 until all are distinct.
 """
@@ -98,52 +98,94 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substring(number, F.lit(1), F.length(number) - 1), check.cast("string"))
 
 
-def _person(value: Column, digest: Column) -> Column:
-    """Title kept; given name of the same gender and script; family name of the same script."""
+def _title(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^(?:(?:{_ALL_TITLES})\.? )?", 0)
+
+
+def _names(value: Column) -> Column:
+    """A person's names without the title."""
+    return F.substring(value, F.length(_title(value)) + 1, F.length(value))
+
+
+def _listed(gender: str) -> list[str]:
+    return [n for (g, _), names in GIVEN.items() if g == gender for n in names]
+
+
+def canonical(kind: Column, value: Column) -> Column:
+    """The entity behind a mention, so that one entity in several formats has one surrogate.
+
+    Emails in lower case; IBAN, card and SSN without separators; phone numbers likewise, but for one space after
+    the country code of a number that sets it apart; persons without a title that only
+    repeats the gender of a listed given name, other titles without their full stop.
+    """
+    bare = F.regexp_replace(value, "[^0-9A-Za-z+]", "")
+    country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
+    phone = F.when(country == "", bare).otherwise(F.concat(country, F.lit(" "), F.substring(bare, F.length(country) + 1, F.length(bare))))
+    names, title = F.split(_names(value), " "), _title(value)
+    of = lambda g: names[0].isin(*_listed(g)) & ((title == "") | title.rlike(rf"^(?:{'|'.join(TITLES[g])})\b"))
+    person = F.when((F.size(names) > 1) & (of("f") | of("m")), _names(value)).otherwise(F.concat(F.replace(title, F.lit("."), F.lit("")), _names(value)))
+    return (F.when(kind == "email", F.lower(value)).when(kind.isin("iban", "card", "ssn"), bare)
+            .when(kind == "phone", phone).when(kind == "person", person).otherwise(value))
+
+
+def rendered(kind: Column, value: Column, made: Column) -> Column:
+    """The surrogate of a mention's entity in the mention's own format: its title, separators and upper case."""
+    filler = F.regexp_replace(made, "[^0-9A-Za-z]", "")
+    seen = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+    shaped = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(filler, seen(i), F.lit(1))).otherwise(c)), "")
+    return (F.when(kind.isin("iban", "card", "ssn", "phone"), shaped).when(kind == "person", F.concat(_title(value), made))
+            .when((kind == "email") & (value == F.upper(value)), F.upper(made)).otherwise(made))
+
+
+def _person(value: Column, digest: Column, parts: int) -> Column:
+    """Names without title: given name of the same gender and script; family name of the same script, of so many parts."""
     out = F.lit(None).cast("string")
-    title = F.regexp_extract(value, rf"^(?:(?:{_ALL_TITLES})\.? )?", 0)
-    names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
+    names = F.split(_names(value), " ")
     female = value.rlike(rf"^(?:{'|'.join(TITLES['f'])})\b")
     for script, chars in _SCRIPTS.items():
         women = female | names[0].isin(*GIVEN["f", script])
         given = F.when(women, _pick(GIVEN["f", script], digest, 0)).otherwise(_pick(GIVEN["m", script], digest, 0))
-        family = F.initcap(F.concat(*(_pick(FAMILY_PARTS[script], digest, i) for i in (1, 2, 3))))
-        middle = _pick(GIVEN["f", script], digest, 4)
+        family = F.initcap(F.concat(*(_pick(FAMILY_PARTS[script], digest, i) for i in range(5, 5 + parts))))
+        middle = F.when(women, _pick(GIVEN["f", script], digest, 4)).otherwise(_pick(GIVEN["m", script], digest, 4))
         full = F.when(F.size(names) == 1, family).when(F.size(names) == 2, F.concat_ws(" ", given, family)).otherwise(F.concat_ws(" ", given, middle, family))
-        out = F.coalesce(out, F.when(names[0].rlike(f"^{chars}"), F.concat(title, full)))
-    return F.coalesce(out, value)
+        out = F.coalesce(out, F.when(names[0].rlike(f"^{chars}"), full))
+    return F.coalesce(out, _names(value))
 
 
-def surrogate(secret: str, kind: Column, value: Column, draw: Column) -> Column:
-    """Replacement of an entity: same type, format and script, drawn by a keyed digest."""
-    d = _digest(secret, kind, value, draw)
+def surrogate(secret: str, kind: Column, value: Column, draw: int) -> Column:
+    """Replacement of an entity (see canonical): same type, format and script, drawn by a keyed digest.
+
+    Later draws take longer family and domain names and more networks, so that
+    formats with few short values don't run out of them in a large corpus.
+    """
+    d = _digest(secret, kind, value, F.lit(draw))
+    parts = 3 + draw // 3
     at = F.instr(value, "@")
     local = F.substring(value, F.lit(1), at - 1)
-    email = F.concat(_same_shape(local, d), F.lit("@"), F.concat(_pick(FAMILY_PARTS["latin"], d, 80), _pick(FAMILY_PARTS["latin"], d, 81),
-                                                                 _pick(FAMILY_PARTS["latin"], d, 82)), F.lit(".example"))
+    email = F.concat(_same_shape(local, d), F.lit("@"), *(_pick(FAMILY_PARTS["latin"], d, 60 + i) for i in range(parts)), F.lit(".example"))
     octets = F.split(value, r"\.")
-    ip = F.concat_ws(".", F.when(octets[0] == "10", F.lit("10")).otherwise(F.lit("198")), *((_number(d, i) % 254 + 1).cast("string") for i in (1, 2, 3)))
-    country = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])|^\+", 0))
+    first = F.when((octets[0] == "10") & F.lit(draw < 8), F.lit("10")).otherwise(F.lit("198") if draw < 3 else (_number(d, 0) % 95 + 128).cast("string"))
+    ip = F.concat_ws(".", first, *((_number(d, i) % 254 + 1).cast("string") for i in (1, 2, 3)))
+    country = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?= )|^\+", 0))
     phone = F.when(country == 0, _same_shape(value, d)).otherwise(
         F.concat(F.substring(value, F.lit(1), country), _same_shape(F.substring(value, country + 1, F.length(value)), d)))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _luhn(_same_shape(value, d)))
-            .when(kind == "iban", _same_shape(value, d, 2)).when(kind == "phone", phone).when(kind == "person", _person(value, d))
+            .when(kind == "iban", _same_shape(value, d, 2)).when(kind == "phone", phone).when(kind == "person", _person(value, d, parts))
             .otherwise(_same_shape(value, d)))
 
 
 def surrogate_table(entities: DataFrame, secret: str) -> DataFrame:
     """(kind, value, surrogate) of distinct entities(kind, value): surrogates differ from each other and from every entity's value.
 
-    Entities that share a surrogate, or draw an existing value, all but one draw again; each round works only
-    on the entities still open, and all rounds work on the entity table alone.
+    A person's surrogate and value count without title.  Entities that share a surrogate, or draw an existing value, all
+    but one draw again; each round works only on the entities still open, and all rounds work on the entity table alone.
     """
     entities = cut(entities.select("kind", "value").distinct())
-    draw = lambda e, n: e.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("value"), F.lit(n)))
+    existing = entities.select(F.when(F.col("kind") == "person", _names(F.col("value"))).otherwise(F.col("value")).alias("surrogate"))
     done, open_ = None, entities
     for n in range(MAX_DRAWS):
-        drawn = draw(open_, n)
-        taken = entities.select(F.col("value").alias("surrogate"))
-        taken = taken if done is None else taken.union(done.select("surrogate"))
+        drawn = open_.withColumn("surrogate", surrogate(secret, F.col("kind"), F.col("value"), n))
+        taken = existing if done is None else existing.union(done.select("surrogate"))
         first = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("m")).join(taken, "surrogate", "left_anti")
         good = cut(first.select("m.kind", "m.value", "surrogate"))
         done = good if done is None else done.union(good)
@@ -157,8 +199,9 @@ def replace_pii(docs: DataFrame, secret: str = "change-me", text_col: str = "tex
     """docs with text_col replaced, and pii_count long (replaced mentions) added.
 
     Texts without entities, null and empty texts pass unchanged with 0.  Rows and all other columns stay, but
-    a pii_count column of docs is replaced.  Equal entities get equal
-    surrogates in the whole table, different ones different surrogates.  Texts
+    a pii_count column of docs is replaced.  Equal entities, in whatever format (see canonical), get equal
+    surrogates in the whole table, different ones different surrogates; a family
+    name alone isn't taken for the full name that stands elsewhere.  Texts
     are read whole; only texts with an entity are shuffled, by their hash.
     """
     docs = docs.drop("pii_count")
@@ -171,7 +214,9 @@ def replace_pii(docs: DataFrame, secret: str = "change-me", text_col: str = "tex
 
     mentions = with_.select("_key", "_found").dropDuplicates(["_key"]).select("_key", F.explode(F.array_distinct("_found")).alias("value"))
     mentions = cut(mentions.withColumn("kind", entity_type(F.col("value"))).where("kind is not null"))
-    table = cut(surrogate_table(mentions.select("kind", "value"), secret))
+    forms = cut(mentions.select("kind", "value").distinct().withColumn("entity", canonical(F.col("kind"), F.col("value"))))
+    made = surrogate_table(forms.select("kind", F.col("entity").alias("value")), secret).toDF("kind", "entity", "made")
+    table = cut(forms.join(made, ["kind", "entity"]).select("kind", "value", rendered(F.col("kind"), F.col("value"), F.col("made")).alias("surrogate")))
     maps = (mentions.join(table, ["kind", "value"]).groupBy("_key")
             .agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map")))
 

@@ -240,6 +240,26 @@ def test_pii(spark):
     assert re.match(r"Госпожа [А-Я]", got[6].text)
 
 
+def test_one_entity_in_several_formats_has_one_surrogate(spark):
+    pairs = [("Mr. John Smith", "John Smith"), ("4845 1681 1440 7329", "4845168114407329"), ("A.B@C.COM", "a.b@c.com"), ("+1 (217) 555-7713", "+1 217-555-7713")]
+    df = docs_of(spark, [f"x {v} y" for pair in pairs for v in pair] + ["x Mrs John Smith y"])
+    got = {r.doc_id: r.text[2:-2] for r in pii.replace_pii(df, "key").collect()}
+    bare = lambda v: re.sub(r"^Mr\. |[^\w@+]", "", v).lower()
+    for i, (a, b) in enumerate(pairs):
+        x, y = got[2 * i], got[2 * i + 1]
+        assert bare(x) == bare(y) and (x, y) != (a, b)
+        if "John" not in a and "@" not in a:
+            assert re.sub(r"\d", "0", x) == re.sub(r"\d", "0", a) and re.sub(r"\d", "0", y) == re.sub(r"\d", "0", b)
+    assert got[0].startswith("Mr. ") and got[4].isupper() and got[8].split()[1] in pii.GIVEN["f", "latin"]
+
+
+def test_many_persons_of_one_family_name_find_surrogates(spark, monkeypatch):
+    monkeypatch.setitem(pii.FAMILY_PARTS, "latin", ["bar", "ben", "cor"])
+    e = spark.range(300).select(F.lit("person").alias("kind"), F.concat(F.lit("Mr Q"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("value"))
+    rows = pii.surrogate_table(e, "k").collect()
+    assert len({r.surrogate for r in rows}) == 300
+
+
 def test_surrogates_stay_distinct(spark):
     e = spark.createDataFrame([("ssn", f"{i:03d}-00-0000") for i in range(50)] + [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
     rows = pii.surrogate_table(e, "k").collect()
