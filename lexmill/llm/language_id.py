@@ -8,7 +8,9 @@ the language of the prototype with the largest cosine.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -35,42 +37,66 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 _letters: dict[int, np.ndarray] = {}
-_grams: dict[int, np.ndarray] = {}
+_places: dict[int, int] = {}
+
+
+@cache
+def _known() -> np.ndarray:
+    """Vectors of the trigrams in _places, one a row."""
+    return np.zeros((GRAM_CACHE, DIM), np.int8)
+
+
+@cache
+def _is_letter() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
 
 
 def gram_vector(gram: int) -> np.ndarray:
     """Vector of a trigram packed as three 21-bit code points."""
-    out = _grams.get(gram)
-    if out is None:
-        if len(_grams) >= GRAM_CACHE:
-            _grams.clear()
-        parts = []
-        for place in (2, 1, 0):
-            code = gram >> 21 * place & 0x1FFFFF
-            v = _letters.get(code)
-            if v is None:
-                if len(_letters) > 10_000:
-                    _letters.clear()
-                v = _letters[code] = letter_vector(code)
-            parts.append(np.roll(v, place))
-        out = _grams[gram] = parts[0] * parts[1] * parts[2]
+    out = np.ones(DIM, np.int8)
+    for place in (2, 1, 0):
+        code = gram >> 21 * place & 0x1FFFFF
+        v = _letters.get(code)
+        if v is None:
+            if len(_letters) > 10_000:
+                _letters.clear()
+            v = _letters[code] = letter_vector(code)
+        out = out * np.roll(v, place)
     return out
 
 
+def gram_matrix(grams: list[int]) -> np.ndarray:
+    """Vectors of at most GRAM_CACHE trigrams, one a row."""
+    if len(_places) + len(grams) > GRAM_CACHE:
+        _places.clear()
+    rows = []
+    for g in grams:
+        at = _places.get(g)
+        if at is None:
+            at = _places[g] = len(_places)
+            _known()[at] = gram_vector(g)
+        rows.append(at)
+    return _known()[rows]
+
+
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of the lower-cased letters, with other runs as one space, and their counts; empty without letters."""
-    words = "".join([c if c.isalpha() else " " for c in text.lower()]).split() if text else []
-    if not words:
+    codes = np.frombuffer(f" {text.lower() if text else ''} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _is_letter()[codes]
+    if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    # Of a run without letters, the place before the next letter stays (the last run: its first place).
+    stays = letter.copy()
+    stays[:-1] |= letter[1:]
+    stays[int(np.flatnonzero(letter)[-1]) + 1] = True
+    codes = np.where(letter, codes, 32)[stays].astype(np.int64)
     return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
 
 
 def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros(DIM, np.float64)
     for at in range(0, len(grams), 2048):
-        m = np.array([gram_vector(g) for g in grams[at : at + 2048].tolist()], np.float32)
-        out += counts[at : at + 2048].astype(np.float32) @ m
+        out += counts[at : at + 2048].astype(np.float32) @ gram_matrix(grams[at : at + 2048].tolist()).astype(np.float32)
     return out
 
 
