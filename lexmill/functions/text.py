@@ -62,8 +62,7 @@ def search_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
 
 
-def plain_quotes(text: Column) -> Column:
-    glyphs = "“”„‟«»‹›‘’‚‛′″`"
+def plain_quotes(text: Column, glyphs: str = "“”„‟«»‹›‘’‚‛′″`") -> Column:
     return F.translate(text, glyphs, '"' * len(glyphs))
 
 
@@ -132,14 +131,14 @@ def keep_head(text: Column, share: float = 0.75) -> Column:
 
 
 def span(text: Column, term: Column) -> Column:
-    """struct<start, end> (zero-based, end exclusive) of the term, ignoring case and how blank runs are written; null if absent or empty."""
-    at = F.instr(F.lower(text), F.lower(term))
-    quoted = F.regexp_replace(F.regexp_replace(F.trim(term), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
-    pattern = F.concat(F.lit("(?iu)"), quoted)
-    loose = F.regexp_instr(text, pattern)
-    found = F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(term)).alias("end"))).when(
-        loose > 0, F.struct((loose - 1).alias("start"), (loose - 1 + F.length(F.regexp_substr(text, pattern))).alias("end")))
-    return F.when(F.trim(term) != "", found)
+    """struct<start, end> (zero-based code points, end exclusive) of the stripped term, ignoring case, else also how blank runs are written; null if absent or empty."""
+    own = strip(term)
+    quoted = F.regexp_replace(own, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    # The first match as it is written: its first literal place is where the pattern matched, and instr counts code points.
+    as_written = lambda p: F.nullif(F.regexp_substr(text, F.concat(F.lit("(?iuU)"), p)), F.lit(""))
+    found = F.coalesce(as_written(quoted), as_written(F.regexp_replace(quoted, r"(?U)\s+", r"\\s+")))
+    start = F.instr(text, found) - 1
+    return F.when((own != "") & found.isNotNull(), F.struct(start.alias("start"), (start + F.length(found)).alias("end")))
 
 
 def page_at(text: Column, start: Column) -> Column:
@@ -161,3 +160,11 @@ def evidence(text: Column, term: Column, around: int = 60, longest: int = 180) -
 
 def quotations(text: Column, least: int = 30) -> Column:
     return F.regexp_extract_all(plain_quotes(text), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
+
+
+def grounded_quotes(draft: Column, source: Column, least: int = 30, longest: int = 100) -> Column:
+    """struct<grounded, quotes>: quotations of the draft, and those whose stripped beginning the source holds, both with every kind of quote made plain."""
+    glyphs = "“”„‟«»‹›‘’‚‛'`´′″"
+    found = F.regexp_extract_all(plain_quotes(draft, glyphs), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
+    held = F.filter(found, lambda x: F.contains(plain_quotes(source, glyphs), F.left(strip(x), F.lit(longest))))
+    return F.struct(F.size(held).cast("long").alias("grounded"), F.size(found).cast("long").alias("quotes"))

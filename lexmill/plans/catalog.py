@@ -360,6 +360,21 @@ def quotes_grounded(spark, sf):
     return rows.select("doc_id", F.size(F.filter(q, lambda x: F.contains("text", F.left(x, F.lit(100))))).cast("long").alias("grounded"), F.size(q).cast("long").alias("quotes"))
 
 
+@query()
+def evidence_span_all(spark, sf):
+    """evidence_span over every document; null where the term is blank or isn't found."""
+    term = F.upper(F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(12)))
+    out = read(spark, sf, "documents").select("doc_id", T.span(F.col("text"), term).alias("s"))
+    return out.select("doc_id", F.col("s.start").cast("long").alias("start"), (F.col("s.end") - F.col("s.start")).cast("long").alias("n"))
+
+
+@query()
+def quotes_grounded_all(spark, sf):
+    """quotes_grounded over every document, with every kind of quote; zeros where nothing is quoted."""
+    text = F.coalesce("text", F.lit(""))
+    return read(spark, sf, "documents").select("doc_id", T.grounded_quotes(text, text).alias("q")).select("doc_id", "q.*")
+
+
 @query("SELECT doc_id, substr(sha256(substr(text, 1, 1000)), 1, 16) AS h, substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 500) AS preview FROM documents")
 def fingerprint(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.prefix_hash(F.col("text")).alias("h"), T.preview(F.col("text")).alias("preview"))
