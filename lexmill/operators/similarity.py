@@ -69,25 +69,43 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def linear_score(q: str, r: str) -> Column:
-    """Same type 10 (unknown candidate 2), same decision 5 (diligence -3), 3 for each shared key, 1 for each shared topic."""
-    kind = F.when(F.col(f"{q}.kind") == F.col(f"{r}.kind"), 10).when(F.col(f"{r}.kind") == "desconhecido", 2).otherwise(0)
-    decision = F.when(F.col(f"{q}.decision") == F.col(f"{r}.decision"), 5).when(F.col(f"{r}.decision") == "diligencia", -3).otherwise(0)
-    shared = lambda c: F.size(F.array_intersect(f"{q}.{c}", f"{r}.{c}"))
-    return kind + decision + 3 * shared("keys") + shared("topics")
+    """Same kind 10 (unknown reference 2, if the query has a kind), same decision 5, diligence -3, 3 for each shared key, 1 for each shared topic."""
+    asks = lambda c: F.coalesce(F.col(f"{q}.{c}") != "", F.lit(False))
+    kind = F.when(F.col(f"{q}.kind") == F.col(f"{r}.kind"), 10).when(asks("kind") & (F.col(f"{r}.kind") == "desconhecido"), 2).otherwise(0)
+    decision = F.when(asks("decision") & (F.col(f"{q}.decision") == F.col(f"{r}.decision")), 5).otherwise(0)
+    diligence = F.when(F.col(f"{r}.decision") == "diligencia", -3).otherwise(0)
+    shared = lambda c: F.coalesce(F.size(F.array_intersect(f"{q}.{c}", f"{r}.{c}")), F.lit(0))
+    return kind + decision + diligence + 3 * shared("keys") + shared("topics")
 
 
-def retrieve(queries: DataFrame, references: DataFrame, least_linear: int = 5, least_cosine: float = 0.70) -> DataFrame:
+def retrieve(queries: DataFrame, references: DataFrame, least_linear: int = 5, least_cosine: float = 0.70, where: Column | None = None) -> DataFrame:
     """Best reference of each query by 0.7 * (cosine + 1) / 2 + 0.3 * linear / best linear; ties by linear score, then position.
 
-    queries(query_id, kind, decision, keys, topics, vector) meet the references(ref_id, position, ...) of their kind in a hash join on kind;
-    a winner that misses both limits, or the linear one in the end, gives no row.
+    Each of queries(query_id, kind, decision, keys, topics, vector) meets all references(ref_id, position, ...), or those for which `where`
+    holds on the aliases q and r.  A winner that misses both limits (of linear and of (cosine + 1) / 2) gives way to the best by linear score
+    (ties by position); no row if the chosen one's linear score is below least_linear.  Pairs without two vectors compete by linear score alone.
+
+    At a given linear score the composite grows with the cosine, so a query's pairs are reduced to one row for each
+    linear score, before the shuffle in each partition; the best linear score and the composite are found on those.
     """
-    pairs = queries.alias("q").join(references.alias("r"), F.col("q.kind") == F.col("r.kind"))
-    scored = pairs.select("q.query_id", "r.ref_id", "r.position", linear_score("q", "r").alias("linear"), cosine(F.col("q.vector"), F.col("r.vector")).alias("cosine"))
-    best = scored.groupBy("query_id").agg(F.max("linear").alias("most"))
-    scored = scored.join(best, "query_id").withColumn("composite", 0.7 * (F.col("cosine") + 1) / 2 + 0.3 * F.coalesce(F.try_divide(F.greatest("linear", F.lit(0)), F.col("most")), F.lit(0.0)))
-    top = scored.groupBy("query_id").agg(F.max_by(F.struct("ref_id", "linear", "cosine", "composite"), F.struct("composite", "linear", -F.col("position"))).alias("t"))
-    return top.select("query_id", "t.*").where((F.col("linear") >= least_linear) | ((F.col("cosine") >= least_cosine) & (F.col("linear") >= least_linear)))
+    pairs = queries.alias("q").join(references.alias("r"), where if where is not None else F.lit(True))
+    both = (F.size("q.vector") > 0) & (F.size("r.vector") > 0)
+    near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("q.vector"), F.col("r.vector"))))
+    scored = pairs.select("q.query_id", "r.ref_id", "r.position", linear_score("q", "r").alias("linear"), F.when(both, near).alias("cosine"))
+    one = F.struct("ref_id", "cosine", "position")
+    few = scored.groupBy("query_id", "linear").agg(F.max_by(one, F.when(F.col("cosine").isNotNull(), F.struct("cosine", -F.col("position")))).alias("near"), F.min_by(one, "position").alias("first"))
+    most = few.groupBy("query_id").agg(F.max("linear").alias("most"))
+
+    def with_composite(c: str) -> Column:
+        cos = F.col(f"{c}.cosine")
+        linear = F.when(F.col("most") > 0, F.greatest("linear", F.lit(0)) / F.col("most")).otherwise(0.0)
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.ref_id").alias("ref_id"), "linear", cos.alias("cosine"), (0.7 * (cos + 1) / 2 + 0.3 * linear).alias("composite")))
+
+    rows = few.join(most, "query_id")
+    order = F.when(F.col("near").isNotNull(), F.struct(with_composite("near")["composite"].alias("c"), "linear", -F.col("near.position")))
+    top = rows.groupBy("query_id").agg(F.max_by(with_composite("near"), order).alias("s"), F.max_by(with_composite("first"), "linear").alias("l"))
+    wins = F.coalesce((F.col("s.linear") >= least_linear) | ((F.col("s.cosine") + 1) / 2 >= least_cosine), F.lit(False))
+    return top.select("query_id", F.when(wins, F.col("s")).otherwise(F.col("l")).alias("t")).select("query_id", "t.*").where(F.col("linear") >= least_linear)
 
 
 def embed(df: DataFrame, text: str, infer) -> DataFrame:

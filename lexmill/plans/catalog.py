@@ -496,10 +496,19 @@ def retrieval_composite(spark, sf):
     row = [F.col("label").cast("string").alias("kind"), (F.col("vec_id") % 3).cast("string").alias("decision"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("topics"), F.col("embedding").alias("vector")]
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), *row)
     refs = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row)
-    out = S.retrieve(queries, refs)
+    out = S.retrieve(queries, refs, where=F.expr("q.kind = r.kind"))
     return out.select("query_id", "ref_id", "linear", F.round("cosine", 6).alias("cosine"), F.round("composite", 6).alias("composite"))
 
 
+@query()
+def retrieval_composite_all(spark, sf):
+    """retrieval_composite among the references of every kind, all rows but the query itself."""
+    row = [F.col("label").cast("string").alias("kind"), (F.col("vec_id") % 3).cast("string").alias("decision"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("topics"), F.col("embedding").alias("vector")]
+    e = read(spark, sf, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), *row)
+    return S.retrieve(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row), where=F.expr("q.query_id <> r.ref_id"))
+
+
 @query()
 def dedup_themes(spark, sf):
     rows = read(spark, sf, "conversations")

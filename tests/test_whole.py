@@ -1,8 +1,11 @@
 """Operators against brute force where queries meet every row."""
 
+import math
+import random
 import re
 
 from lexmill.functions import text as T
+from lexmill.operators import similarity
 from lexmill.plans import catalog
 from pyspark.sql import functions as F
 
@@ -35,3 +38,53 @@ def test_evidence_and_quotes_cover_every_document(spark, tmp_path):
     assert {r.doc_id: (r.grounded, r.quotes) for r in catalog.QUERIES["quotes_grounded_all"](spark, str(tmp_path)).collect()} == want
     loose = spark.createDataFrame([("😀 valor\n total  Devido", " VALOR total devido "), ("a\\b.c", "A\\B.C"), ("abc", "a.c"), (None, "a"), ("a", None)], "t string, w string")
     assert [r.s and tuple(r.s) for r in loose.select(T.span(F.col("t"), F.col("w")).alias("s")).collect()] == [(2, 22), (0, 5), None, None, None]
+
+
+def chosen(query, refs):
+    """The reference's selection; (ref_id, linear) or None."""
+    def linear(r):
+        out = 10 if r["kind"] == query["kind"] else 2 if query["kind"] and r["kind"] == "desconhecido" else 0
+        out += 5 if query["decision"] and r["decision"] == query["decision"] else 0
+        return out - 3 * (r["decision"] == "diligencia") + 3 * len(set(query["keys"]) & set(r["keys"])) + len(set(query["topics"]) & set(r["topics"]))
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=False)) / norm if norm else 0.0
+
+    ranked = sorted(((r, linear(r)) for r in refs), key=lambda x: -x[1])
+    best, most, top = ranked[0], max(0, ranked[0][1]), -1.0
+    semantic = None
+    for r, lin in ranked if query["vector"] else []:
+        if r["vector"]:
+            near = (cosine(query["vector"], r["vector"]) + 1) / 2
+            score = 0.7 * near + 0.3 * (max(0, lin) / most if most else 0)
+            if score > top:
+                top, semantic = score, (r, lin, near)
+    if semantic and (semantic[1] >= 5 or semantic[2] >= 0.70):
+        best = semantic[:2]
+    return (best[0]["ref_id"], best[1]) if best[1] >= 5 else None
+
+
+def test_retrieval_meets_every_reference(spark):
+    rng = random.Random(7)
+    kinds, decisions, keys = ["a", "b", "desconhecido", ""], ["x", "y", "diligencia", ""], ["1", "2", "3", "4"]
+    def row(i, name):
+        return {name: i, "position": i, "kind": rng.choice(kinds), "decision": rng.choice(decisions), "keys": rng.sample(keys, rng.randint(0, 3)), "topics": rng.sample(keys, rng.randint(0, 2)),
+                "vector": [rng.gauss(0, 1) for _ in range(4)] if rng.random() < 0.8 else []}
+    rest = "position long, kind string, decision string, keys array<string>, topics array<string>, vector array<double>"
+    refs = [row(i, "ref_id") for i in range(25)]
+    # Queries of a kind that no reference has, and one whose semantic winner misses both limits.
+    queries = [row(i, "query_id") for i in range(60)] + [row(i, "query_id") | {"kind": "none"} for i in range(60, 90)]
+    few = [{"ref_id": 0, "position": 0, "kind": "a", "decision": "", "keys": [], "topics": [], "vector": [-1.0, 0.0]}, {"ref_id": 1, "position": 1, "kind": "b", "decision": "", "keys": [], "topics": [], "vector": [0.35, 1.0]}]
+    falls = [{"query_id": 0, "position": 0, "kind": "a", "decision": "", "keys": [], "topics": [], "vector": [1.0, 0.0]}]
+    assert chosen(falls[0], few) == (0, 10)
+    for q, r in ((queries, refs), (falls, few)):
+        out = similarity.retrieve(spark.createDataFrame(q, f"query_id long, {rest}").drop("position"), spark.createDataFrame(r, f"ref_id long, {rest}"))
+        assert {x.query_id: (x.ref_id, x.linear) for x in out.collect()} == {x["query_id"]: c for x in q if (c := chosen(x, r))}
+
+
+def test_retrieval_query_meets_all_rows_but_itself(spark):
+    rows = [{"ref_id": r.vec_id, "kind": str(r.label), "decision": str(r.vec_id % 3), "keys": [], "topics": [], "vector": list(r.embedding)} for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()]
+    want = {q["ref_id"]: chosen(q, [r for r in rows if r is not q]) for q in rows if q["ref_id"] % 100 == 0}
+    got = {r.query_id: (r.ref_id, r.linear) for r in catalog.QUERIES["retrieval_composite_all"](spark, SF).collect()}
+    assert got == {k: v for k, v in want.items() if v}
