@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,32 +34,54 @@ def pairs_within(df: DataFrame, key: str, item: str, text: str, least: float) ->
 
 
 def equivalent(a: dict, b: dict) -> bool:
-    """Whether two themes (subject, text, tokens, obstacles) say the same."""
+    """Whether theme a (subject, text, tokens, obstacles) says the same as b, which was kept before; ratio() depends on their order."""
     if a["subject"] and a["subject"] == b["subject"]:
         return True
+    if not a["text"] or not b["text"]:
+        return False
     ta, tb = set(a["tokens"]), set(b["tokens"])
-    jac = len(ta & tb) / len(ta | tb) if ta | tb else 0.0
-    seq = SequenceMatcher(None, a["subject"], b["subject"]).ratio() if a["subject"] and b["subject"] else 0.0
+    jac = len(ta & tb) / len(ta | tb) if ta and tb else 0.0
+    subjects = SequenceMatcher(None, a["subject"], b["subject"])
+    both = bool(a["subject"] and b["subject"])
+    # Upper bounds first: below them no condition can hold.
+    if jac < 0.58 and not (both and subjects.real_quick_ratio() >= 0.82 and subjects.quick_ratio() >= 0.82):
+        return False
+    seq = subjects.ratio() if both else 0.0
+    if seq >= 0.92 or jac >= 0.78 and seq >= 0.70:
+        return True
+    near = seq >= 0.82 and len(ta & tb) >= 4
+    numbers = lambda t: {n for o in t["obstacles"] for n in re.findall(r"\d+", o)}
+    if near and numbers(a) & numbers(b):
+        return True
+    if not near and not (jac >= 0.58 and 0.45 * jac + 0.35 * seq + 0.20 >= 0.80 - 1e-9):
+        return False
     full = SequenceMatcher(None, a["text"], b["text"]).ratio()
-    shared = set(a["obstacles"]) & set(b["obstacles"])
-    return (seq >= 0.92 or jac >= 0.78 or seq >= 0.82 and jac >= 0.58 or 0.45 * jac + 0.35 * seq + 0.20 * full >= 0.80 and len(ta & tb) >= 4
-            or bool(shared) and seq >= 0.70 and full >= 0.68)
+    return near and full >= 0.68 or jac >= 0.58 and 0.45 * jac + 0.35 * seq + 0.20 * full >= 0.80
 
 
 def dedup_themes(themes: DataFrame) -> DataFrame:
     """Greedy dedup in order within each case of themes(case_id, idx, subject, text, tokens, obstacles, completeness): a duplicate replaces
-    what was kept when it is more complete. A case's themes are a handful."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values("idx").to_dict("records"):
-            at = next((i for i, k in enumerate(kept) if equivalent(k, row)), None)
-            if at is None:
-                kept.append(row)
-            elif row["completeness"] > kept[at]["completeness"]:
-                kept[at] = row
-        return pd.DataFrame([(k["case_id"], k["idx"]) for k in kept], columns=["case_id", "idx"])
-
-    return themes.groupBy("case_id").applyInPandas(run, "case_id long, idx long")
+    what was kept when it is more complete. Cases stream in order; only the kept themes of one case are held."""
+    names = ["case_id", "idx", "subject", "text", "tokens", "obstacles", "completeness"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, kept = None, []
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([k[c] for k in rows], pa.int64()) for c in names[:2]], names[:2])
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["case_id"] != case:
+                    yield out(kept)
+                    case, kept = row["case_id"], []
+                row |= {"subject": row["subject"] or "", "text": row["text"] or "", "tokens": row["tokens"] or [], "obstacles": row["obstacles"] or [], "completeness": row["completeness"] or 0}
+                at = next((i for i, k in enumerate(kept) if equivalent(row, k)), None)
+                if at is None:
+                    kept.append(row)
+                elif row["completeness"] > kept[at]["completeness"]:
+                    kept[at] = row
+        yield out(kept)
+
+    rows = themes.select(F.col("case_id").cast("long").alias("case_id"), F.col("idx").cast("long").alias("idx"), *names[2:])
+    return rows.repartition("case_id").sortWithinPartitions("case_id", "idx").mapInArrow(run, "case_id long, idx long")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -513,6 +513,6 @@ def retrieval_composite_all(spark, sf):
 def dedup_themes(spark, sf):
     rows = read(spark, sf, "conversations")
     subject = T.search_form(F.substring("text", 1, 60))
-    themes = rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("idx"), subject.alias("subject"), F.substring(T.search_form(F.col("text")), 1, 400).alias("text"),
+    themes = rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("idx"), subject.alias("subject"), T.search_form(F.col("text")).alias("text"),
                          S.token_set(F.col("text")).alias("tokens"), F.array().cast("array<string>").alias("obstacles"), F.length("text").alias("completeness"))
     return S.dedup_themes(themes)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from difflib import SequenceMatcher
 
 from lexmill.functions import text as T
 from lexmill.operators import similarity
@@ -88,3 +89,60 @@ def test_retrieval_query_meets_all_rows_but_itself(spark):
     want = {q["ref_id"]: chosen(q, [r for r in rows if r is not q]) for q in rows if q["ref_id"] % 100 == 0}
     got = {r.query_id: (r.ref_id, r.linear) for r in catalog.QUERIES["retrieval_composite_all"](spark, SF).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def says_the_same(a, b):
+    """The reference's four conditions, in full."""
+    if a["subject"] and a["subject"] == b["subject"]:
+        return True
+    if not a["text"] or not b["text"]:
+        return False
+    x, y = set(a["tokens"]), set(b["tokens"])
+    jac = len(x & y) / len(x | y) if x and y else 0.0
+    seq = SequenceMatcher(None, a["subject"], b["subject"]).ratio() if a["subject"] and b["subject"] else 0.0
+    full = SequenceMatcher(None, a["text"], b["text"]).ratio()
+    n, m = ({d for o in t["obstacles"] for d in re.findall(r"\d+", o)} for t in (a, b))
+    return seq >= 0.92 or seq >= 0.82 and len(x & y) >= 4 and (bool(n & m) or full >= 0.68) or jac >= 0.78 and seq >= 0.70 or 0.45 * jac + 0.35 * seq + 0.20 * full >= 0.80 and jac >= 0.58
+
+
+def theme(subject, text, obstacles=()):
+    return {"subject": subject, "text": text, "tokens": sorted(set(text.split())), "obstacles": list(obstacles)}
+
+
+def test_each_condition_of_equivalence():
+    base, far = "aaaa bbbb cccc dddd", "wxyz " * 30
+    cases = [(theme("dano moral coletivo", base), theme("dano moral coletiva", far), True),  # subject alone
+             (theme("abcdefghij", base), theme("abcdefghxy", base), True), (theme("abcdefghij", base), theme("pqrstuvwxy", base), False),  # jaccard needs the subject
+             (theme("abcdefghijkl", base + " " + far, ["7/STJ"]), theme("abcdefghijxy", base + " " + "q " * 80, ["Súmula 7"]), True),  # obstacles
+             (theme("abcdefghijkl", base + " " + far), theme("abcdefghijxy", base + " " + "q " * 80), False),
+             (theme("", ""), theme("x", ""), False), (theme("abc", ""), theme("abd", ""), False), (theme("same", ""), theme("same", ""), True)]
+    for a, b, same in cases:
+        assert similarity.equivalent(a, b) == says_the_same(a, b) == same, (a, b)
+    rng, seen = random.Random(3), set()
+    for _ in range(3000):
+        words = [rng.choice(["dano", "moral", "juros", "mora", "lei", "prova", "valor"]) for _ in range(rng.randint(0, 9))]
+        other = [w for w in words if rng.random() < 0.85]
+        a, b = (theme(" ".join(w[: rng.randint(0, 5)]), " ".join(w), rng.choice([[], ["7"], ["7/STJ"], ["83"]])) for w in (words, other))
+        seen.add(want := says_the_same(a, b))
+        assert similarity.equivalent(a, b) == want, (a, b)
+    assert seen == {True, False}
+
+
+def test_dedup_query_reads_whole_texts(spark, tmp_path):
+    head = "palavra comum " * 40
+    given = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
+    given += [(900, 0, "u", "assunto novo primeiro caso " + head + "x" * 20), (900, 1, "u", "assunto novo primeira coisa " + head + " ".join(f"outra{i}" for i in range(90)))]
+    df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = df.select("conv_id", "turn", T.search_form(F.substring("text", 1, 60)).alias("subject"), T.search_form(F.col("text")).alias("text"), similarity.token_set(F.col("text")).alias("tokens"),
+                     F.length("text").alias("n")).orderBy("conv_id", "turn").collect()
+    kept = {}
+    for r in rows:
+        own, row = kept.setdefault(r.conv_id, []), r.asDict() | {"obstacles": []}
+        at = next((i for i, k in enumerate(own) if says_the_same(row, k)), None)
+        if at is None:
+            own.append(row)
+        elif row["n"] > own[at]["n"]:
+            own[at] = row
+    got = catalog.QUERIES["dedup_themes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((c, k["turn"]) for c, own in kept.items() for k in own)
