@@ -15,9 +15,6 @@ from .common import hash128, text_or_empty
 
 #: Tokens in a window.
 WINDOW = 5
-#: The search for candidates hashes every window of an item and every STRIDE-th of a document, so it meets
-#: every run of WINDOW + STRIDE - 1 shared tokens; candidates are then compared at every position.
-STRIDE = 4
 #: Share of an item's windows that a document must hold.
 COVER = 0.8
 
@@ -60,11 +57,11 @@ def template(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(is_value(t), F.substring(t, 1, 1)).otherwise(t))
 
 
-def windows(tokens: Column, width: int, stride: int = 1) -> Column:
+def windows(tokens: Column, width: Column) -> Column:
     """array<struct<hash long, pos int>> of the windows of a template."""
     last = F.size(tokens) - width
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(width), F.slice(tokens, i + 1, width)).alias("hash"), i.alias("pos")))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(width, F.slice(tokens, i + 1, width)).alias("hash"), i.alias("pos")))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text",
@@ -72,37 +69,38 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, cover: float =
     """(doc_id, item_id, matched long, item_windows long, coverage double, reparameterised boolean) for every document
     and benchmark item whose windows it holds for a share of at least cover.
 
-    An item with fewer than WINDOW tokens is not searched; one with fewer than
-    WINDOW + STRIDE - 1 is searched by its first window at every position.  Null or empty
-    texts hold nothing and are never items.  Equal (id, text) rows give one result; a
+    The search for candidates hashes every window of items and documents, so it meets every window that they share, whatever other
+    items there are.  An item with fewer than WINDOW tokens is searched as one window of its own size.
+    Null or empty texts hold nothing and are never items.  Equal (id, text) rows give one result; a
     null id is carried as null.  Empty tables give an empty result.  A window of
     placeholders alone is never compared.  The benchmark's windows are
     joined by hash; they are broadcast only if Spark finds their size below its bound.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("raw")).withColumn("tpl", template(F.col("raw")))
-    items = items.where(F.size("raw") >= WINDOW)
-    real = lambda t, i: F.exists(F.slice(t, i + 1, WINDOW), lambda w: ~is_value(w))
-    own = (items.withColumn("w", F.explode(windows(F.col("tpl"), WINDOW))).where(real(F.col("tpl"), F.col("w.pos")))
+    items = items.where(F.size("raw") > 0).withColumn("width", F.least(F.size("raw"), F.lit(WINDOW)))
+    real = F.exists(F.slice("tpl", F.col("w.pos") + 1, F.col("width")), lambda w: ~is_value(w))
+    own = (items.withColumn("w", F.explode(windows(F.col("tpl"), F.col("width")))).where(real)
            .select("item_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("ipos"),
-                   F.filter(F.slice("raw", F.col("w.pos") + 1, WINDOW), is_value).alias("ivals"), F.size("raw").alias("size")))
+                   F.filter(F.slice("raw", F.col("w.pos") + 1, F.col("width")), is_value).alias("ivals"), "width"))
     totals = own.groupBy("item_id").agg(F.count_distinct("ipos").alias("item_windows"))
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     read = base.select("doc_id", "text", template(tokens(F.col("text"))).alias("tpl"))
-    short = F.col("size") < WINDOW + STRIDE - 1
-    has_short = bool(own.where(short).limit(1).count())
+    widths = sorted(r.width for r in own.select("width").distinct().collect()) or [WINDOW]
+    of = lambda t, w: F.transform(windows(t, F.lit(w)), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), F.lit(w).alias("width")))
+    every = lambda t: F.concat(*(of(t, w) for w in widths))
     probe = own.select("hash", "item_id").distinct()
-    found = (read.select("doc_id", hash128(F.col("text")).alias("key"), F.explode(windows(F.col("tpl"), WINDOW, 1 if has_short else STRIDE)["hash"]).alias("hash"))
+    found = (read.select("doc_id", hash128(F.col("text")).alias("key"), F.explode(F.array_distinct(every(F.col("tpl"))["hash"])).alias("hash"))
              .join(probe, "hash").select("doc_id", "key", "item_id").distinct())
 
     keys = found.select("key").distinct()
     again = base.withColumn("key", hash128(F.col("text"))).join(keys, "key", "left_semi").dropDuplicates(["doc_id", "key"])
     again = again.select("doc_id", "key", tokens(F.col("text")).alias("raw")).withColumn("tpl", template(F.col("raw")))
-    at = (again.withColumn("w", F.explode(windows(F.col("tpl"), WINDOW)))
+    at = (again.withColumn("w", F.explode(every(F.col("tpl"))))
           .select("doc_id", "key", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"),
-                  F.filter(F.slice("raw", F.col("w.pos") + 1, WINDOW), is_value).alias("vals")))
+                  F.filter(F.slice("raw", F.col("w.pos") + 1, F.col("w.width")), is_value).alias("vals")))
     pair = ["doc_id", "key", "item_id"]
-    met = at.join(own.drop("size"), "hash").withColumn("shift", F.col("pos") - F.col("ipos"))
+    met = at.join(own.drop("width"), "hash").withColumn("shift", F.col("pos") - F.col("ipos"))
     slots = met.select(*pair, "shift", F.explode(F.arrays_zip("ivals", "vals")).alias("s")).select(*pair, "shift", "s.ivals", "s.vals")
     bad = (slots.groupBy(*pair, "shift", "ivals").agg((F.min("vals") != F.max("vals")).alias("bad")).where("bad")
            .groupBy(*pair, "shift").agg(F.collect_set("ivals").alias("bad")))
