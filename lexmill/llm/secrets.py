@@ -30,14 +30,16 @@ BASE = {
 RANDOM = "random"
 KINDS = (*BASE, RANDOM)
 
-#: A candidate: this many characters at least, of those that encodings use.
+#: A candidate: this many characters at least, of those that encodings use; = is padding at the end, else it splits tokens.
 LEAST = 20
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
 #: Symbols of each encoding, in the order in which encodings are tried.
 ENCODINGS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "letters": "abcdefghijklmnopqrstuvwxyz",
+    "LETTERS": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -103,7 +105,9 @@ def prose_p(token: str, encoding: str, model: dict[str, int]) -> float:
     chars = ENCODINGS[encoding]
     body = token.rstrip("=")
     # Prose writes a word in one case and without digits or signs: unseen symbols keep a small count.
-    weights = np.array([max(model.get(c, 0), FLOOR_COUNT) for c in chars], np.float64)
+    # Words in capitals are prose as well, so letters of one case have the counts of both.
+    both = encoding in ("letters", "LETTERS")
+    weights = np.array([max(model.get(c, 0) + both * model.get(c.swapcase(), 0), FLOOR_COUNT) for c in chars], np.float64)
     f = weights / weights.sum()
     ratio = dict(zip(chars, (np.log(1 / len(chars)) - np.log(f)).tolist(), strict=True))
     score = sum(ratio[c] for c in body) / len(body)
@@ -114,14 +118,14 @@ def prose_p(token: str, encoding: str, model: dict[str, int]) -> float:
 
 
 def candidates(text: str, model: dict[str, int]) -> list[tuple[int, int, float]]:
-    """(start, end, p) of the tokens that pass the battery; a token of letters in one case alone is a word, not a candidate."""
+    """(start, end, p) of the tokens that pass the battery; one of fewer than five different characters isn't tested."""
     out = []
     for m in _CANDIDATE.finditer(text):
         token = m.group()
-        if len(set(token)) < 5 or token.isalpha() and (token.islower() or token.isupper() or token.istitle()):
+        if len(set(token)) < 5:
             continue
         encoding = encoding_of(token)
-        if encoding in (None, "decimal") or min(randomness(token, encoding)) < TEST_LEVEL:
+        if encoding is None or min(randomness(token, encoding)) < TEST_LEVEL:
             continue
         out.append((m.start(), m.end(), prose_p(token, encoding, model)))
     return out
