@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +24,13 @@ from .url_filter import filter_urls
 #: The URL rules of op4.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 TOKENIZER = "word_bpe_49k.json"
-#: Key of the surrogates in the registered query; a deployment passes its own.
-PII_KEY = "corpus-key-1"
+#: Setting with the key of the surrogates; where it is unset each call of the query draws a new key, so that none stands in the code.
+PII_KEY = "spark.lexmill.pii.key"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return replace_pii(docs, PII_KEY)
+    return replace_pii(docs, spark.conf.get(PII_KEY, None) or token_hex(32))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
