@@ -1,9 +1,11 @@
 """HTML extraction with site template removal.
 
 Pages become blocks of text, each with the hashes of the element subtrees that hold it.
-Spark counts the pages of a host on which a subtree recurs; subtrees on many pages of
-their host are template and are deleted, besides what the markup itself names as menu, header,
-footer, sidebar, notice, advert, form, script, style or reader comment.
+Spark counts the different pages of a host on which a subtree recurs; subtrees on many pages of
+their host are template and are deleted.  Every block element is counted, whatever its name or class
+(but for the text blocks of an article); what the markup itself names as menu, header,
+footer, sidebar, notice, advert, form, script, style or reader comment is then dropped where it
+doesn't recur, as on hosts of few pages.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .url_filter import url_host
 
-#: A subtree is template when it is on this many pages of its host, and on this share of them.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.3
+#: A subtree is template when it is on this many different pages of its host, and on this share of its pages.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.002
+#: A paragraph, heading, item or cell alone may be template only outside articles and from this many characters on, so that short ones that many pages say stay.
+LONG_TEXT = 25
 #: Up to this many (host, subtree) templates are sent to the tasks; more are joined to the pages.
 BROADCAST_TEMPLATES = 200_000
 
@@ -34,7 +38,7 @@ DROPPED = set("head script style noscript template title nav footer aside form b
 RAW = set("script style textarea title noscript iframe".split())
 #: Elements that an opening tag closes when they are open.
 CLOSES_P = BLOCKS - set("body html option caption tbody td tfoot th thead tr title template noscript".split())
-#: Content elements whose recurrence inside an article isn't template.
+#: Content elements: see LONG_TEXT.
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr article main body html".split())
 #: Words in class, id or role that name boilerplate.
 _BOILER = re.compile(
@@ -42,6 +46,11 @@ _BOILER = re.compile(
     r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comments?|respond|replies|disqus|"
     r"search\w*|pagination|pager|toolbar|alert|complementary|contentinfo|navigation)(?=$|[\s_-])", re.I)
 
+#: Inside an article only a whole class, id or role counts, and only one that names what no article holds.
+_BOILER_INSIDE = re.compile(
+    r"(?:^|\s)(?:ads?|ad-\w+|advert\w*|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|footer|sidebar|cookies?|cookie-\w+|notices?|newsletter|comments?|comment-\w+|"
+    r"respond|replies|disqus\w*)(?=$|\s)", re.I)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -52,6 +61,7 @@ class Block(NamedTuple):
     text: str
     #: Subtrees that hold the block, outermost first: index into the page's subtrees.
     path: tuple[int, ...]
+    #: By its markup.
     dropped: bool
     article: bool
 
@@ -67,7 +77,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
     """Blocks in page order, and each element subtree as (64-bit hash of its tags and text, may be template)."""
     stack = [_Open("#root", False, False, -1, 0)]
     blocks: list[Block] = []
-    trees: list[list] = []  # hash state, may be template
+    trees: list[list] = []  # hash state, may be template whatever its length, may be if it is long, characters
     text: list[str] = []
 
     def flush() -> None:
@@ -80,6 +90,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
                 data = line.encode("utf-8", "surrogatepass")
                 for i in path:
                     trees[i][0].update(b"\0" + data)
+                    trees[i][3] += len(line)
                 blocks.append(Block(line, path, top.dropped, top.article))
 
     def close(to: int) -> None:
@@ -130,38 +141,39 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
         drop = top.dropped or name in DROPPED or name == "header" and not top.article
         if attrs and not drop and name not in ("html", "body"):
             said = " ".join(a or b or c for a, b, c in _ATTR.findall(attrs))
-            drop = bool(name not in ("article", "main") and said and _BOILER.search(said)) or bool(_HIDDEN.search(attrs))
+            named = _BOILER_INSIDE if top.article else _BOILER
+            drop = bool(name not in ("article", "main") and said and named.search(said)) or bool(_HIDDEN.search(attrs))
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
         article = top.article or name in ("article", "main")
         index = -1
-        if block and not drop and name not in ("html", "body"):
+        if block and name not in ("html", "body", "head") and name not in RAW:
             index = len(trees)
-            trees.append([xxhash.xxh64(name), not (article and name in TEXT_BLOCKS)])
+            trees.append([xxhash.xxh64(name), name not in TEXT_BLOCKS, not article, 0])
             for o in stack:
                 if o.index >= 0:
                     trees[o.index][0].update(b"<" + name.encode("utf-8", "surrogatepass"))
         stack.append(_Open(name, drop, article, index, 0))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-            if not drop:
+            if not drop and name not in ("script", "style"):
                 text.append(page[at : end.start() if end else len(page)])
             at = end.start() if end else len(page) + 1
     flush()
-    return blocks, [(t.intdigest() - 2**63, may) for t, may in trees]
+    return blocks, [(t.intdigest() - 2**63, n > 0 and (any_ or outside and n >= LONG_TEXT)) for t, any_, outside, n in trees]
 
 
 def main_text(page: str | None, templates: set[int] | None = None) -> str:
-    """Text of a page's blocks, one to a line, without dropped elements and the given subtree hashes.
+    """Text of a page's blocks, one to a line, without the subtrees of the given hashes and what the markup names.
 
     With article or main elements that hold text only their blocks count.
     """
     blocks, trees = parse(page or "")
     gone = {i for i, (h, may) in enumerate(trees) if may and templates and h in templates}
-    kept = [b for b in blocks if not b.dropped]
+    kept = [b for b in blocks if gone.isdisjoint(b.path) and not b.dropped]
     if any(b.article for b in kept):
         kept = [b for b in kept if b.article]
-    return "\n".join(b.text for b in kept if gone.isdisjoint(b.path))
+    return "\n".join(b.text for b in kept)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +202,14 @@ def site_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                    least_pages: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
     """(host, tree long): subtrees on at least least_pages pages of their host and at least that share of them.
 
-    A page counts once for each of its subtrees; counts are summed before the shuffle, so a host with a third of all pages
-    costs no more in any one task.  Pages without a host share the empty one.
+    Pages of equal html are one page, so that copies of a page don't make its content a template.  A page counts once for
+    each of its subtrees; pages of a subtree are told apart by their hash, which deals a hot host's pages over all tasks, and
+    counted before the next shuffle.  Pages without a host share the empty one.
     """
-    base = pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(id_col, url_col, F.col(html_col)).alias("key"), F.col(html_col).alias("html"))
-    of_host = base.groupBy("host").agg(F.count("*").alias("pages"))
-    trees = base.mapInArrow(_subtrees, "host string, key long, tree long").groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    base = pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("key"), F.col(html_col).alias("html"))
+    of_host = base.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    each = base.mapInArrow(_subtrees, "host string, key long, tree long").distinct()
+    trees = each.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     return trees.join(of_host, "host").where(F.col("n") >= share * F.col("pages")).select("host", "tree")
 
 
