@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, text_or_empty
+from .common import cut, hash128, likely_members, text_or_empty
 
 #: Tokens in a window.
 WINDOW = 5
@@ -24,8 +24,8 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr ms kb
          "kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year "
          "years dollar dollars euro euros cent cents degree degrees").split()
 
-#: A name: capitalised words inside a sentence (after a word or a comma), or after a title.
-_NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+#: A name: capitalised words inside a sentence (after a word or a comma); at the start of a text, line or sentence two at least.
+_NAME = r"(?=\p{Lu})(?:(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*|(?<=^|\n|[.!?:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _UNIT = rf"(?<=\d ?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}|[%€$£°]C?)(?![\p{{L}}\p{{N}}])"
 #: Marks before a name, unit or number, and after any of them (private-use characters; a text's own are dropped).
@@ -75,6 +75,10 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, cover: float =
     null id is carried as null.  Empty tables give an empty result.  A window of
     placeholders alone is never compared.  The benchmark's windows are
     joined by hash; they are broadcast only if Spark finds their size below its bound.
+
+    At one and the same offset each value of the item must stand for one value of the document, and each name of the document for one
+    value of the item (numbers may coincide).  Texts are read whole twice: once for the search, whose result is written, and once where
+    a filter of bounded size (broadcast) lets them pass, so that only possible candidates are tokenised again and shuffled.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("raw")).withColumn("tpl", template(F.col("raw")))
     items = items.where(F.size("raw") > 0).withColumn("width", F.least(F.size("raw"), F.lit(WINDOW)))
@@ -90,20 +94,22 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, cover: float =
     of = lambda t, w: F.transform(windows(t, F.lit(w)), lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), F.lit(w).alias("width")))
     every = lambda t: F.concat(*(of(t, w) for w in widths))
     probe = own.select("hash", "item_id").distinct()
-    found = (read.select("doc_id", hash128(F.col("text")).alias("key"), F.explode(F.array_distinct(every(F.col("tpl"))["hash"])).alias("hash"))
-             .join(probe, "hash").select("doc_id", "key", "item_id").distinct())
+    found = cut(read.select("doc_id", hash128(F.col("text")).alias("key"), F.explode(F.array_distinct(every(F.col("tpl"))["hash"])).alias("hash"))
+                .join(probe, "hash").select("doc_id", "key", "item_id").distinct())
 
-    keys = found.select("key").distinct()
-    again = base.withColumn("key", hash128(F.col("text"))).join(keys, "key", "left_semi").dropDuplicates(["doc_id", "key"])
+    # What the filter lets pass by chance meets no window of an item below.
+    again = likely_members(base.withColumn("key", hash128(F.col("text"))), F.xxhash64("key"), found.select(F.xxhash64("key")).distinct()).dropDuplicates(["doc_id", "key"])
     again = again.select("doc_id", "key", tokens(F.col("text")).alias("raw")).withColumn("tpl", template(F.col("raw")))
     at = (again.withColumn("w", F.explode(every(F.col("tpl"))))
           .select("doc_id", "key", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"),
                   F.filter(F.slice("raw", F.col("w.pos") + 1, F.col("w.width")), is_value).alias("vals")))
     pair = ["doc_id", "key", "item_id"]
-    met = at.join(own.drop("width"), "hash").withColumn("shift", F.col("pos") - F.col("ipos"))
+    met = cut(at.join(own.drop("width"), "hash").withColumn("shift", F.col("pos") - F.col("ipos")))
     slots = met.select(*pair, "shift", F.explode(F.arrays_zip("ivals", "vals")).alias("s")).select(*pair, "shift", "s.ivals", "s.vals")
-    bad = (slots.groupBy(*pair, "shift", "ivals").agg((F.min("vals") != F.max("vals")).alias("bad")).where("bad")
-           .groupBy(*pair, "shift").agg(F.collect_set("ivals").alias("bad")))
+    several = slots.groupBy(*pair, "shift", "ivals").agg((F.min("vals") != F.max("vals")).alias("bad")).where("bad").select(*pair, "shift", "ivals")
+    shared = (slots.where(F.col("vals").startswith(_VALUE_MARKS[0])).groupBy(*pair, "shift", "vals").agg(F.collect_set("ivals").alias("of")).where(F.size("of") > 1)
+              .select(*pair, "shift", F.explode("of").alias("ivals")))
+    bad = several.union(shared).groupBy(*pair, "shift").agg(F.collect_set("ivals").alias("bad"))
     on = [F.col(f"m.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*pair, "shift")]
     kept = met.alias("m").join(bad.alias("b"), on, "left").where(F.col("b.bad").isNull() | ~F.arrays_overlap("m.ivals", "b.bad")).select("m.*")
     counted = kept.groupBy(*pair).agg(F.count_distinct("ipos").alias("matched"), F.max(F.col("ivals") != F.col("vals")).alias("reparameterised"))
