@@ -2,10 +2,10 @@
 
 Candidates are long unbroken tokens.  Each gets an encoding from its characters and three
 tests of randomness in it: chi-squared uniformity of its symbols, runs about the median
-and lag-1 serial correlation.  A token that looks random in all three is scored against
-prose: the p-value is the chance that prose of its length, by the corpus's own
-character counts, is as likely under the random encoding.  The Benjamini-Hochberg rule over
-the candidates of the whole corpus then picks the spans.
+and lag-1 serial correlation.  A token that fails one of them isn't random.  The others get the chance that
+prose of their length, by the corpus's own character counts, would score as the token does: in the chi-squared
+statistic and in the likelihood of its characters under the random encoding; a token's p-value is the lesser of the two,
+times two.  The Benjamini-Hochberg rule over the candidates of the whole corpus then picks the spans.
 """
 
 from __future__ import annotations
@@ -101,7 +101,8 @@ def randomness(token: str, encoding: str) -> tuple[float, float, float]:
 
 
 def prose_p(token: str, encoding: str, model: dict[str, int]) -> float:
-    """Chance that prose of this length, by the model's character counts, is as likely under the encoding as the token is."""
+    """Chance that prose of this length, by the model's character counts, scores like the token in either of two statistics (Bonferroni):
+    chi-squared uniformity, and the characters' likelihood under the encoding.  Runs and serial correlation have no say here: prose has them by chance or not, as its words fall."""
     chars = ENCODINGS[encoding]
     body = token.rstrip("=")
     # Prose writes a word in one case and without digits or signs: unseen symbols keep a small count.
@@ -109,12 +110,20 @@ def prose_p(token: str, encoding: str, model: dict[str, int]) -> float:
     both = encoding in ("letters", "LETTERS")
     weights = np.array([max(model.get(c, 0) + both * model.get(c.swapcase(), 0), FLOOR_COUNT) for c in chars], np.float64)
     f = weights / weights.sum()
-    ratio = dict(zip(chars, (np.log(1 / len(chars)) - np.log(f)).tolist(), strict=True))
-    score = sum(ratio[c] for c in body) / len(body)
-    llr = np.log(1 / len(chars)) - np.log(f)
+    x = np.array([chars.index(c) for c in body])
+    n, k = len(x), len(chars)
+
+    def tail(score: float, mean: float, var: float) -> float:
+        return normal_tail((score - mean) / math.sqrt(var)) if var > 1e-12 else 1.0
+
+    llr = np.log(1 / k) - np.log(f)
     mean = float((f * llr).sum())
-    var = float((f * (llr - mean) ** 2).sum())
-    return normal_tail((score - mean) / math.sqrt(var / len(body))) if var > 1e-12 else 1.0
+    likely = tail(float(llr[x].mean()), mean, float((f * (llr - mean) ** 2).sum()) / n)
+    # Moments of the sum of squared counts of n independent draws from f; the chi-squared statistic is linear in it.
+    two, three = float((f**2).sum()), float((f**3).sum())
+    squares = float((np.bincount(x, minlength=k) ** 2).sum())
+    even = tail(-squares, -(n + n * (n - 1) * two), 2 * n * (n - 1) * two + 4 * n * (n - 1) * (n - 2) * three - 2 * n * (n - 1) * (2 * n - 3) * two**2)
+    return min(1.0, 2 * min(likely, even))
 
 
 def candidates(text: str, model: dict[str, int]) -> list[tuple[int, int, float]]:
