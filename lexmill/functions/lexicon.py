@@ -17,7 +17,8 @@ REDACT_PARTIAL = [(r"(?i)sk-or-[A-Za-z0-9_\-]{8,}", "[REDACTED_OPENROUTER_KEY]")
                   (r"\b\d{20}\b", "[REDACTED_PROCESSO]"), (r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", "[REDACTED_CPF]"),
                   (r"\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b", "[REDACTED_CNPJ]")]
 REDACT_FULL = [(r"(?iu)\b(recorrente|recorrido|agravante|agravado|apelante|apelado|embargante|embargado|impetrante|impetrado|autor(?:a)?|r[ée]u|exequente|executado|"
-                r"parte\s+autora|parte\s+r[ée]|nome(?:\s+da)?\s+parte)\b(\s*[:=\-]\s*)([^\n,;|]{3,120})", "$1$2[REDACTED_PARTE]")]
+                r"parte\s+autora|parte\s+r[ée])\b(\s*[:=\-]\s*)([^\n,;|]{3,120})", "$1$2[REDACTED_PARTY_NAME]"),
+               (r"(?iu)\b(nome(?:\s+da)?\s+parte)\b(\s*[:=\-]\s*)([^\n,;|]{3,120})", "$1$2[REDACTED_PARTY_NAME]")]
 STRONG_OBSTACLES = [5, 7, 13, 83, 126, 211, 518, 279, 280, 281, 282, 283, 284, 356, 735]
 TAXONOMY = {"STJ": [5, 7, 13, 83, 126, 211, 518], "STF": [279, 280, 281, 282, 283, 284, 356, 735]}
 INADMIT = ["não conhecido", "nao conhecido", "não conhecimento", "nao conhecimento", "inadmiss", "não admit", "nao admit"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
@@ -52,8 +53,9 @@ def quality(text: Column) -> Column:
 
 
 def noise_ratio(text: Column) -> Column:
+    """Share of noise among non-blank lines, to three places; 1 without any."""
     own = useful_lines(text)
-    return F.when(F.size(own) == 0, 1.0).otherwise(F.size(F.filter(own, lambda x: is_noise(x))) / F.size(own))
+    return F.when(F.size(own) == 0, 1.0).otherwise(F.round(F.size(F.filter(own, lambda x: is_noise(x))) / F.size(own), 3))
 
 
 def search_form(text: Column) -> Column:
@@ -62,16 +64,20 @@ def search_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
 
 
-def plain_quotes(text: Column, glyphs: str = "“”„‟«»‹›‘’‚‛′″`") -> Column:
+#: Signs that count as quotes.
+QUOTES = "“”„‟«»‹›‘’‚‛'`´"
+
+
+def plain_quotes(text: Column, glyphs: str = QUOTES) -> Column:
     return F.translate(text, glyphs, '"' * len(glyphs))
 
 
-def redact(text: Column, level: str = "partial", extra: list[tuple[str, str]] = (), longest: int = 1200) -> Column:
-    """Redacts by the rules of the level (off, partial, full), then cuts to `longest` characters with a suffix."""
+def redact(text: Column, level: str = "partial", extra: list[tuple[str, str]] = (), longest: int = 1200, suffix: str = " ... [TRUNCATED]") -> Column:
+    """Redacts by the rules of the level (off, partial, full), then cuts to `longest` characters, the suffix that says so among them."""
     if level != "off":
         for pattern, new in [*lx.REDACT_PARTIAL, *(lx.REDACT_FULL if level == "full" else []), *extra]:
             text = F.regexp_replace(text, pattern, new)
-    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("...[TRUNCATED]"))).otherwise(text)
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, max(0, longest - len(suffix))), F.lit(suffix))).otherwise(text)
 
 
 def plaintext_markers(text: Column) -> Column:
@@ -84,8 +90,9 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns), F.lit(""))
 
 
-def case_number(text: Column) -> Column:
-    return first_match(text, [r"(\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4})", r"(?iu)processo\s*(?:n[ºo°.]*)?\s*[:]?\s*([\d./-]{5,})"])
+def long_case_number(text: Column) -> Column:
+    """A case number in its full form; parsing.case_number also takes what follows `Nº` or `Processo`."""
+    return first_match(text, [r"(\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4})"])
 
 
 def sumulas(text: Column) -> Column:
@@ -93,22 +100,24 @@ def sumulas(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?iu)s[úu]mulas?\s*(?:n[ºo°.]*)?\s*(\d{1,4})"), F.lit(1)), lambda x: x.cast("int"))))
 
 
-def decision_word(text: Column) -> Column:
-    low = F.lower(text)
-    return (F.when(low.rlike("inconclusiv"), "INCONCLUSIVO").when(low.rlike(r"inadmit|inadmiss|n[ãa]o\s+admit|n[ãa]o\s+conhe"), "INADMITIDO")
-            .when(low.rlike(r"admit|admiss|conhecid"), "ADMITIDO"))
-
-
 def json_object(text: Column) -> Column:
-    """The outermost object in free text, null if there is none that parses."""
+    """From the first `{` to the last `}` of free text, null if that isn't one object that parses (the parser alone would pass what follows an object)."""
     found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull(), F.nullif(found, F.lit("")))
+    braces = F.regexp_replace(F.regexp_replace(found, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}]", "")
+    depths = F.aggregate(F.split(F.left(braces, F.length(braces) - 1), ""), F.struct(F.lit(0).alias("d"), F.lit(1).alias("least")), lambda a, c: F.struct(
+        (a["d"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("d"), F.least(a["least"], a["d"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("least")))
+    return F.when(F.try_parse_json(found).isNotNull() & (depths["least"] >= 1) & (depths["d"] == 1), F.nullif(found, F.lit("")))
 
 
 def as_bool(text: Column) -> Column:
     return F.lower(F.trim(text)).isin("true", "1", "sim", "s", "yes", "y")
 
 
+def said_yes(text: Column) -> Column:
+    """Whether a value from JSON says yes."""
+    return F.lower(strip(text)).isin("sim", "true", "1", "yes")
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9_-]+", "-"), r"^-+|-+$", "")
 
@@ -142,24 +151,38 @@ def span(text: Column, term: Column) -> Column:
 
 
 def page_at(text: Column, start: Column) -> Column:
-    """1 + form feeds before start, else the last `página N` before it, else 1."""
-    before = F.substring(text, F.lit(1), start)
-    said = F.try_element_at(F.regexp_extract_all(before, F.lit(r"(?iu)p[áa]gina\s+(\d+)"), F.lit(1)), F.lit(-1)).cast("int")
-    feeds = F.size(F.split(before, "\f")) - 1
-    return F.when(feeds > 0, feeds + 1).otherwise(F.coalesce(said, F.lit(1)))
+    """1 + form feeds before start in a text that has any, else the last `página N` up to start (1 at least), else 1."""
+    said = F.try_element_at(F.regexp_extract_all(F.substring(text, F.lit(1), start + 1), F.lit(r"(?iuU)p[áa]gina\s+(\d{1,4})"), F.lit(1)), F.lit(-1)).cast("int")
+    feeds = F.size(F.split(F.substring(text, F.lit(1), start), "\f")) - 1
+    return F.when(F.contains(text, F.lit("\f")), feeds + 1).otherwise(F.coalesce(F.greatest(said, F.lit(1)), F.lit(1)))
 
 
-def evidence(text: Column, term: Column, around: int = 60, longest: int = 180) -> Column:
-    """struct<quote, page, anchor, start>: where a literal stands in its source."""
+def evidence(text: Column, term: Column, around: int = 60, longest: int = 180, wide: int = 80, most: int = 280) -> Column:
+    """struct<quote, page, anchor, start>: where a literal stands in its source.  The quote is its line or lines, or `wide` characters
+    around it where those are longer than `most`; the anchor has `around` characters on both sides, cut to `longest`."""
     s = span(text, term)
-    left = F.greatest(s["start"] - around, F.lit(0))
-    return F.when(s.isNotNull(), F.struct(F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("quote"), page_at(text, s["start"]).alias("page"),
-                                          F.substring(F.trim(F.regexp_replace(F.substring(text, left + 1, s["end"] + around - left), r"\s+", " ")), 1, longest).alias("anchor"),
-                                          s["start"].alias("start")))
+    start, end = s["start"], s["end"]
+    one_line = lambda n: strip(F.regexp_replace(F.substring(text, F.greatest(start - n, F.lit(0)) + 1, end + n - F.greatest(start - n, F.lit(0))), r"(?U)\s+", " "))
+    middle = F.substring(text, start + 1, end - start)
+    line = strip(F.concat(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1), middle, F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)))
+    quote = F.when(F.length(line) > most, one_line(wide)).otherwise(line)
+    return F.when(s.isNotNull(), F.struct(quote.alias("quote"), page_at(text, start).alias("page"), F.left(one_line(around), F.lit(longest)).alias("anchor"), start.alias("start")))
 
 
 def quotations(text: Column, least: int = 30) -> Column:
-    return F.regexp_extract_all(plain_quotes(text), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
+    """Quotations between double quotes of any kind."""
+    return F.regexp_extract_all(plain_quotes(text, "“”„‟«»‹›‘’‚‛′″`"), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
+
+
+def sections(docs: DataFrame, id_col: str, text_col: str, headers: str = r"EMENTA|RELATÓRIO|VOTO|DISPOSITIVO|DECISÃO|ACÓRDÃO", first: str = "PREÂMBULO") -> DataFrame:
+    """(id, section, text): the lines under each header that stands alone on its line; of a header that stands several times, the last with any lines."""
+    lined = docs.select(id_col, F.posexplode(lines(F.col(text_col))).alias("at", "line"))
+    head = F.when(F.col("line").rlike(rf"(?iuU)^\s*(?:{headers})\s*$"), F.upper(strip(F.col("line"))))
+    upto = W.partitionBy(id_col).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    under = (lined.withColumn("head", head).withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(upto), F.lit(first)))
+             .withColumn("part", F.count("head").over(upto)).where("head is null"))
+    parts = under.groupBy(id_col, "section", "part").agg(strip(F.array_join(F.array_sort(F.collect_list(F.struct("at", "line")))["line"], "\n")).alias("text"))
+    return parts.groupBy(id_col, "section").agg(F.max_by("text", "part").alias("text"))
 
 
 def grounded_quotes(draft: Column, source: Column, least: int = 30, longest: int = 100) -> Column:

@@ -70,6 +70,71 @@ def quality_gate(metrics: DataFrame, targets: dict[str, float]) -> DataFrame:
     return out.select("metric", "observed", "threshold", (F.col("observed") >= F.col("threshold")).alias("passed"))
 
 
+def timed_streak(runs: DataFrame, order: str, ts: str, passed: str, need: int = 3) -> DataFrame:
+    """One row over runs in their order: runs, considered (the last `need`), trailing passes, errors among those considered (too few, undated, not later
+    than the dated one before, failed) and whether there are none.
+
+    Only the last `need` runs and the last failure are looked up; no window spans all runs.
+    """
+    last = runs.orderBy(F.desc(order)).limit(need)
+    w = W.orderBy(order)
+    before = F.last(F.col(ts), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    judged = last.withColumn("_before", before)
+    bad = F.col(ts).isNull().cast("int") + F.coalesce(F.col(ts) <= F.col("_before"), F.lit(False)).cast("int") + (~F.col(passed)).cast("int")
+    errors = judged.agg(F.count("*").alias("considered"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"))
+    failed = runs.agg(F.count("*").alias("runs"), F.max(F.when(~F.col(passed), F.col(order))).alias("_failed"))
+    streak = runs.crossJoin(F.broadcast(failed.select("_failed"))).agg(F.count_if(F.col("_failed").isNull() | (F.col(order) > F.col("_failed"))).alias("streak"))
+    out = failed.crossJoin(streak).crossJoin(errors).withColumn("errors", F.col("bad") + (F.col("runs") < need).cast("int"))
+    return out.select("runs", "considered", "streak", "errors", (F.col("errors") == 0).alias("passed"))
+
+
+def regression_checks(history: DataFrame, rules: dict[str, tuple[float, float]]) -> DataFrame:
+    """For each run of history(metric, run, value) and each rule metric: observed (0 where the run lacks it), previous, delta to four places and the two breaches."""
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(v[0]).alias("least"), F.lit(v[1]).alias("fall")) for m, v in rules.items()))).alias("r")
+    grid = history.select("run").distinct().select("run", rows).select("run", "r.*")
+    full = grid.join(history, ["metric", "run"], "left").withColumn("observed", F.coalesce("value", F.lit(0.0)))
+    full = full.withColumn("previous", F.lag("observed").over(W.partitionBy("metric").orderBy("run"))).withColumn("delta", F.round(F.col("observed") - F.col("previous"), 4))
+    return full.select("metric", "run", F.round("observed", 4).alias("observed"), F.round("previous", 4).alias("previous"), "delta",
+                       (F.col("observed") < F.col("least")).alias("threshold_breach"), F.coalesce(F.col("delta") < -F.col("fall"), F.lit(False)).alias("regression_breach"))
+
+
+def routing_savings(light: Column, heavy: Column, strong: tuple[float, float], small: tuple[float, float], share: float = 0.2) -> Column:
+    """struct<all_strong, hybrid, savings, percent> of tokens of light and heavy tasks: light ones on the small model or all on the strong one; prices per million (input, output)."""
+    cost = lambda tokens, price: tokens * (share * price[0] + (1 - share) * price[1]) / 1_000_000
+    whole, hybrid = cost(light, strong) + cost(heavy, strong), cost(light, small) + cost(heavy, strong)
+    return F.struct(F.round(whole, 4).alias("all_strong"), F.round(hybrid, 4).alias("hybrid"), F.round(whole - hybrid, 4).alias("savings"),
+                    F.round(F.coalesce(F.try_divide((whole - hybrid) * 100, whole), F.lit(0.0)), 1).alias("percent"))
+
+
+def golden_metrics(cases: DataFrame) -> DataFrame:
+    """Metrics of cases, each with what was expected (e_) and observed (o_): fields_ok of fields, pages_ok of pages, docs_ok of docs, themes, obstacle found, decision,
+    block code, confidence and its bounds, evidence failures."""
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 4)
+    themes, obstacle = yes(F.col("o_themes") == F.col("e_themes")), yes(F.col("obstacle_found"))
+    open_ = lambda c: F.contains(F.upper(F.coalesce(c, F.lit(""))), F.lit("INCONCLUS"))
+    inside = F.coalesce(F.col("confidence") >= F.col("e_least"), F.lit(True)) & F.coalesce(F.col("confidence") <= F.col("e_most"), F.lit(True))
+    same = lambda c: yes(F.coalesce(f"o_{c}", F.lit("")) == F.coalesce(f"e_{c}", F.lit("")))
+    return cases.select(
+        "case_id", share("pages_ok", "pages").alias("extraction_useful_pages_rate"), share("docs_ok", "docs").alias("classification_accuracy"),
+        share("fields_ok", "fields").alias("etapa1_critical_fields_accuracy"), themes.alias("etapa2_temas_count_accuracy"), obstacle.alias("etapa2_obice_accuracy"),
+        F.coalesce(F.round(F.try_divide(2 * themes * obstacle, themes + obstacle), 4), F.lit(0.0)).alias("etapa2_proxy_f1"), same("decision").alias("etapa3_decisao_accuracy"),
+        yes(open_(F.col("o_decision"))).alias("etapa3_inconclusivo_rate"), yes(open_(F.col("o_decision")) & ~open_(F.col("e_decision"))).alias("etapa3_inconclusivo_unexpected_rate"),
+        same("code").alias("etapa3_motivo_bloqueio_accuracy"), yes(inside).alias("confianca_global_bounds_accuracy"), F.col("evidence_failures").cast("double").alias("critical_evidence_failures"),
+        yes(F.col("evidence_failures") == 0).alias("critical_evidence_failures_zero"))
+
+
+def mean_metrics(cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """(metric, value): each metric's unweighted mean to four places."""
+    return cases.unpivot(key, [c for c in cases.columns if c != key], "metric", "value").groupBy("metric").agg(F.round(F.avg("value"), 4).alias("value"))
+
+
+def first_said(*paths: Column) -> Column:
+    """The first that isn't blank, in upper case with single spaces; empty if all are."""
+    norm = lambda c: F.trim(F.regexp_replace(F.upper(c), r"\s+", " "))
+    return F.coalesce(*(F.nullif(norm(c), F.lit("")) for c in paths), F.lit(""))
+
+
 def gate_streak(runs: DataFrame, order: str, passed: str, need: int = 3) -> DataFrame:
     """One row: runs, trailing passes after the last failure, and whether they are enough."""
     later_failures = F.count_if(~F.col(passed)).over(W.orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))

@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEADER = re.compile(r"^\s*(?:[IVX]+\s*[-–.)]|\d+\s*[.)]|#{1,3}\s|[A-ZÀ-Ú][A-ZÀ-Ú\s]{4,}$)", re.M)
-MARKERS = ("\n\n", "\n", ". ", "; ", " ")
+# Fixed values that results depend on.
+HEADER = re.compile(r"EMENTA|RELAT[ÓO]RIO|VOTO|DISPOSITIVO|DECIS[ÃA]O|AC[ÓO]RD[ÃA]O|FUNDAMENTA[ÇC][ÃA]O")
+PREAMBLE = "PREAMBULO"
+MARKERS = (". ", ".\n", "! ", "?\n", "\n")
 
 
 def estimate_tokens(text: str) -> int:
@@ -26,24 +28,30 @@ class Unit(NamedTuple):
     section: str
 
 
+def cuts(body: str, size: int, reach: int = 200) -> list[int]:
+    """Ends of the pieces of an oversize paragraph: `size` characters on, or after the first kind of marker that lies within reach of there."""
+    ends, at = [], 0
+    while at < len(body):
+        end = at + size
+        found = next((i + len(m) for m in MARKERS if (i := body.find(m, end, min(end + reach, len(body)))) >= 0), end) if end < len(body) else len(body)
+        ends.append(found)
+        at = found
+    return ends
+
+
 def units(text: str, max_tokens: int, count=estimate_tokens) -> list[Unit]:
-    """Paragraphs with the section header they stand under; oversize ones are split at the first marker after 0.9 of the limit."""
-    out, section = [], ""
-    for m in re.finditer(r"\S(?:.*?\S)?(?=\s*\n\s*\n|\s*\Z)", text, re.S):
-        body = m.group()
-        head = HEADER.match(body)
-        if head:
-            section = body.split("\n", 1)[0].strip()[:80]
-        at, total = m.start(), count(body)
-        target = max(200, int(0.9 * max_tokens * len(body) / max(total, 1)))
-        while total > max_tokens and m.end() - at > target:
-            cut = at + target
-            found = [i + len(k) for k in MARKERS if (i := text.find(k, cut, min(cut + 200, m.end()))) >= 0]
-            cut = found[0] if found else cut
-            out.append(Unit(at, cut, count(text[at:cut]), section))
-            at = cut
-        if at < m.end():
-            out.append(Unit(at, m.end(), count(text[at : m.end()]), section))
+    """Paragraphs, parted by blank lines, with the section whose header was the first line of one of them last; oversize ones in pieces."""
+    out, section = [], PREAMBLE
+    for m in re.finditer(r"\S[\s\S]*?(?=\n\s*\n|\Z)", text):
+        body = m.group().rstrip()
+        head = body.splitlines()[0].strip().upper()
+        if HEADER.fullmatch(head):
+            section = head
+        total = count(body)
+        pieces = [len(body)] if total <= max_tokens else cuts(body, max(200, int(max_tokens * len(body) / max(1, total) * 0.9)))
+        for a, b in zip([0, *pieces], pieces, strict=False):
+            if piece := body[a:b].strip():
+                out.append(Unit(m.start() + a, m.start() + b, count(piece), section))
     return out
 
 

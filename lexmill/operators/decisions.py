@@ -65,6 +65,29 @@ def outside_taxonomy(obstacles: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return obstacles.join(taxonomy, "number", "left_anti")
 
 
+# Block codes and what they say.
+BLOCK_REASONS = {
+    "CTX_COBERTURA_BAIXA": "Cobertura de contexto útil abaixo do mínimo após chunking.",
+    "PDF_QUALIDADE_BAIXA": "Qualidade de extração dos PDFs abaixo do mínimo configurado.",
+    "E1_INCONCLUSIVA": "Etapa 1 inconclusiva, execução bloqueada antes da Etapa 2.",
+    "E2_VALIDACAO_FAIL": "Etapa 2 inválida em política fail-closed.",
+    "E3_VALIDACAO_FAIL": "Etapa 3 inválida em política fail-closed.",
+    "E3_INCONCLUSIVO": "Decisão final inconclusiva com aviso explícito.",
+}
+
+
+def with_block_reason(rows: DataFrame, code: str, given: str | None = None) -> DataFrame:
+    """rows with block_reason: what is given, else what the code stands for, else empty."""
+    known = F.create_map(*(F.lit(x) for kv in BLOCK_REASONS.items() for x in kv))
+    own = F.nullif(F.trim(given), F.lit("")) if given else F.lit(None).cast("string")
+    return rows.withColumn("block_reason", F.coalesce(own, F.try_element_at(known, F.trim(code)), F.lit("")))
+
+
+def grouped_documents(docs: DataFrame) -> DataFrame:
+    """Documents of each case by label, all three labels present."""
+    return docs.groupBy("case_id").pivot("label", ["RECURSO", "ACORDAO", "DESCONHECIDO"]).count().na.fill(0)
+
+
 def merge_first(parts: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """First non-empty value of each field in part order."""
     first = lambda c: F.min_by(F.nullif(F.trim(c), F.lit("")), F.when(F.trim(c) != "", F.col(order)))

@@ -310,9 +310,9 @@ def plaintext_markers(spark, sf):
 
 
 @query(f"""SELECT o_orderkey, regexp_extract(text, '(\\d{{7}}-\\d{{2}}\\.\\d{{4}}\\.\\d\\.\\d{{2}}\\.\\d{{4}})', 1) AS case_number,
- CASE WHEN o_orderkey % 3 = 1 THEN '7,283' ELSE '' END AS sumulas FROM {LG}""")
+ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)s[úu]mulas?\\s*(?:n[ºo°.]*)?\\s*(\\d{{1,4}})', 1), lambda x: CAST(x AS INT)))), ',') AS sumulas FROM {LG}""")
 def parse_fields(spark, sf):
-    return legal(spark, sf).select("o_orderkey", T.case_number(F.col("text")).alias("case_number"), F.array_join(T.sumulas(F.col("text")).cast("array<string>"), ",").alias("sumulas"))
+    return legal(spark, sf).select("o_orderkey", T.long_case_number(F.col("text")).alias("case_number"), F.array_join(T.sumulas(F.col("text")).cast("array<string>"), ",").alias("sumulas"))
 
 
 LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -338,7 +338,13 @@ def text_quality_parts(spark, sf):
                                               F.size(F.filter(own, lambda x: F.length(x) >= 20)).cast("long").alias("long_lines"), F.size(F.array_distinct(own)).cast("long").alias("unique_lines"))
 
 
-@query()
+NOISE = "(?i)(?:" + "|".join(f"(?:{p})" for p in lx.NOISE_LINES) + ")"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\r\\f\\v')), lambda x: x <> '') AS ls FROM documents)
+ SELECT doc_id, CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, CAST(0.45 AS DOUBLE) * (length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) / greatest(length(text), 1))
+ + CAST(0.40 AS DOUBLE) * (len(list_filter(ls, lambda x: length(x) >= 20 AND NOT regexp_full_match(x, '{NOISE}'))) / len(ls)) + CAST(0.15 AS DOUBLE) * (len(list_distinct(ls)) / len(ls)))), 3) END AS quality,
+ CASE WHEN len(ls) = 0 THEN 1.0 ELSE round(len(list_filter(ls, lambda x: regexp_full_match(x, '{NOISE}'))) / len(ls), 3) END AS noise FROM l""")
 def text_quality(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.quality(F.col("text")).alias("quality"), T.noise_ratio(F.col("text")).alias("noise"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexmill.functions import clean
+from lexmill.functions import parsing as P
 from lexmill.functions import text as T
 from lexmill.operators import analytics, chunking, decisions, similarity, state
 from lexmill.plans import catalog
@@ -58,11 +59,11 @@ def test_cleaner():
 def test_text_functions(spark):
     df = spark.createDataFrame([("Ação  nº 5\fpágina 2\nvalor TOTAL  devido", "total devido", "{x} Ok {\"a\": 1} fim")], "t string, term string, j string")
     r = df.select(T.search_form(F.col("t")).alias("s"), T.evidence(F.col("t"), F.col("term")).alias("e"), T.json_object(F.lit('Sim: {"a": 1} fim')).alias("j"),
-                  T.decision_word(F.lit("Recurso não admitido")).alias("d"), T.sumulas(F.lit("Súmula 7 e súmula nº 283, Súmula 7")).alias("n"), T.quality(F.lit("")).alias("q"),
+                  P.decision_of(F.lit("Voto: não  admito o recurso")).alias("d"), P.decision_of(F.lit("Exame de admissibilidade do recurso")).alias("none"), P.case_number(F.lit("Nº 123-45.2024.8.16.0001")).alias("cn"), T.sumulas(F.lit("Súmula 7 e súmula nº 283, Súmula 7")).alias("n"), T.quality(F.lit("")).alias("q"),
                   T.redact(F.lit("Recorrente: Fulano de Tal, CPF 123.456.789-09"), "full").alias("r")).first()
-    assert r.s == "acao n 5 pagina 2 valor total devido" and r.e.quote == "TOTAL  devido" and r.e.page == 2
+    assert r.s == "acao n 5 pagina 2 valor total devido" and r.e.quote == "valor TOTAL  devido" and r.none is None and r.cn == "123-45.2024.8.16.0001" and r.e.page == 2
     assert r.j == '{"a": 1}' and r.d == "INADMITIDO" and r.n == [7, 283] and r.q == 0
-    assert r.r == "Recorrente: [REDACTED_PARTE], CPF [REDACTED_CPF]"
+    assert r.r == "Recorrente: [REDACTED_PARTY_NAME], CPF [REDACTED_CPF]"
 
 
 @settings(max_examples=40, deadline=None)
