@@ -398,9 +398,9 @@ def timed_streak(spark, sf):
 
 
 @query(f"""SELECT user_id, round(w, 4) AS all_strong, round(h, 4) AS hybrid, round(w - h, 4) AS savings, round(coalesce((w - h) * 100 / nullif(w, 0), 0), 1) AS percent FROM (SELECT user_id, l * CAST(8.5 AS DOUBLE) / 1000000 + b * CAST(8.5 AS DOUBLE) / 1000000 AS w, l * CAST(0.51 AS DOUBLE) / 1000000 + b * CAST(8.5 AS DOUBLE) / 1000000 AS h FROM
- (SELECT user_id, 1000 * CAST(coalesce(sum(k) FILTER (event_type = 'view'), 0) AS DOUBLE) AS l, 1000 * CAST(coalesce(sum(k) FILTER (event_type <> 'view'), 0) AS DOUBLE) AS b FROM {EV} GROUP BY 1))""")
+ (SELECT user_id, 7919 * CAST(coalesce(sum(k) FILTER (event_type = 'view'), 0) AS DOUBLE) AS l, 7919 * CAST(coalesce(sum(k) FILTER (event_type <> 'view'), 0) AS DOUBLE) AS b FROM {EV} GROUP BY 1))""")
 def routing_savings(spark, sf):
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)) * 1000
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)) * 7919
     use = events(spark, sf).groupBy("user_id").agg(of(F.col("event_type") == "view").alias("l"), of(F.col("event_type") != "view").alias("b"))
     return use.select("user_id", A.routing_savings(F.col("l"), F.col("b"), (2.5, 10.0), (0.15, 0.6)).alias("s")).select("user_id", "s.*")
 
