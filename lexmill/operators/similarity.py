@@ -84,12 +84,18 @@ def dedup_themes(themes: DataFrame) -> DataFrame:
     return rows.repartition("case_id").sortWithinPartitions("case_id", "idx").mapInArrow(run, "case_id long, idx long")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine on the common prefix of two vectors; 0 for a zero norm."""
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, z: s + z)
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine on the common prefix of two vectors; 0 for a zero norm.  Norms that are at hand serve where both vectors are equally long."""
     n = F.least(F.size(a), F.size(b))
     x, y = F.slice(a, 1, n), F.slice(b, 1, n)
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, z: s + z)
-    return F.coalesce(F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))), F.lit(0.0))
+    out = F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    if norm_a is not None and norm_b is not None:
+        out = F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm_a * norm_b)).otherwise(out)
+    return F.coalesce(out, F.lit(0.0))
 
 
 def linear_score(q: str, r: str) -> Column:
@@ -112,20 +118,20 @@ def retrieve(queries: DataFrame, references: DataFrame, least_linear: int = 5, l
     At a given linear score the composite grows with the cosine, so a query's pairs are reduced to one row for each
     linear score, before the shuffle in each partition; the best linear score and the composite are found on those.
     """
-    pairs = queries.alias("q").join(references.alias("r"), where if where is not None else F.lit(True))
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    pairs = queries.withColumn("norm", norm).alias("q").join(references.withColumn("norm", norm).alias("r"), where if where is not None else F.lit(True))
     both = (F.size("q.vector") > 0) & (F.size("r.vector") > 0)
-    near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("q.vector"), F.col("r.vector"))))
+    near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("q.vector"), F.col("r.vector"), F.col("q.norm"), F.col("r.norm"))))
     scored = pairs.select("q.query_id", "r.ref_id", "r.position", linear_score("q", "r").alias("linear"), F.when(both, near).alias("cosine"))
     one = F.struct("ref_id", "cosine", "position")
     few = scored.groupBy("query_id", "linear").agg(F.max_by(one, F.when(F.col("cosine").isNotNull(), F.struct("cosine", -F.col("position")))).alias("near"), F.min_by(one, "position").alias("first"))
-    most = few.groupBy("query_id").agg(F.max("linear").alias("most"))
 
     def with_composite(c: str) -> Column:
         cos = F.col(f"{c}.cosine")
         linear = F.when(F.col("most") > 0, F.greatest("linear", F.lit(0)) / F.col("most")).otherwise(0.0)
         return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.ref_id").alias("ref_id"), "linear", cos.alias("cosine"), (0.7 * (cos + 1) / 2 + 0.3 * linear).alias("composite")))
 
-    rows = few.join(most, "query_id")
+    rows = few.withColumn("most", F.max("linear").over(W.partitionBy("query_id")))
     order = F.when(F.col("near").isNotNull(), F.struct(with_composite("near")["composite"].alias("c"), "linear", -F.col("near.position")))
     top = rows.groupBy("query_id").agg(F.max_by(with_composite("near"), order).alias("s"), F.max_by(with_composite("first"), "linear").alias("l"))
     wins = F.coalesce((F.col("s.linear") >= least_linear) | ((F.col("s.cosine") + 1) / 2 >= least_cosine), F.lit(False))

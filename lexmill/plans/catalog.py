@@ -349,34 +349,21 @@ def text_quality(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.quality(F.col("text")).alias("quality"), T.noise_ratio(F.col("text")).alias("noise"))
 
 
-@query("""SELECT doc_id, strpos(lower(text), lower(term)) - 1 AS start, length(term) AS n FROM (SELECT doc_id, text, upper(substr(text, 1 + CAST(floor(length(text) / 2) AS BIGINT), 12)) AS term FROM documents)
- WHERE regexp_matches(term, '^[A-Z, .]{12}$') AND trim(term) = term""")
+@query("""WITH d AS (SELECT doc_id, text, trim(upper(replace(substr(text, 1 + CAST(floor(length(text) / 2) AS BIGINT), 12), 'ß', 'SS')), E' \\t\\n\\r\\f\\v') AS term FROM documents),
+ f AS (SELECT doc_id, strpos(lower(text), lower(term)) AS pos, length(term) AS n FROM d)
+ SELECT doc_id, CASE WHEN n > 0 AND pos > 0 THEN pos - 1 ELSE -1 END AS start, CASE WHEN n > 0 AND pos > 0 THEN n ELSE 0 END AS n FROM f""")
 def evidence_span(spark, sf):
-    term = F.upper(F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(12)))
-    rows = read(spark, sf, "documents").select("doc_id", "text", term.alias("term")).where(F.col("term").rlike(r"^[A-Z, .]{12}$") & (F.trim("term") == F.col("term")))
-    out = rows.select("doc_id", T.span(F.col("text"), F.col("term")).alias("s"))
-    return out.select("doc_id", F.col("s.start").cast("long").alias("start"), (F.col("s.end") - F.col("s.start")).cast("long").alias("n"))
-
-
-@query("""SELECT doc_id, len(list_filter(regexp_extract_all(text, '"([^"]{30,})"', 1), lambda x: strpos(text, left(x, 100)) > 0)) AS grounded, len(regexp_extract_all(text, '"([^"]{30,})"', 1)) AS quotes
- FROM documents WHERE regexp_matches(text, '"[^"]{30,}"') AND NOT regexp_matches(text, '[“”„‟«»‹›‘’‚‛′″`]')""")
-def quotes_grounded(spark, sf):
-    rows = read(spark, sf, "documents").where(F.col("text").rlike('"[^"]{30,}"') & ~F.col("text").rlike("[“”„‟«»‹›‘’‚‛′″`]"))
-    q = T.quotations(F.col("text"))
-    return rows.select("doc_id", F.size(F.filter(q, lambda x: F.contains("text", F.left(x, F.lit(100))))).cast("long").alias("grounded"), F.size(q).cast("long").alias("quotes"))
-
-
-@query()
-def evidence_span_all(spark, sf):
-    """evidence_span over every document; null where the term is blank or isn't found."""
+    """Where the middle of each document stands when looked up in upper case; start -1 and n 0 where it is blank or isn't found."""
     term = F.upper(F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(12)))
     out = read(spark, sf, "documents").select("doc_id", T.span(F.col("text"), term).alias("s"))
-    return out.select("doc_id", F.col("s.start").cast("long").alias("start"), (F.col("s.end") - F.col("s.start")).cast("long").alias("n"))
+    n = F.coalesce(F.col("s.end") - F.col("s.start"), F.lit(0))
+    return out.select("doc_id", F.coalesce("s.start", F.lit(-1)).cast("long").alias("start"), n.cast("long").alias("n"))
 
 
-@query()
-def quotes_grounded_all(spark, sf):
-    """quotes_grounded over every document, with every kind of quote; zeros where nothing is quoted."""
+@query("""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '“”„‟«»‹›‘’‚‛''`´′″', repeat('"', 17)) AS own FROM documents), q AS (SELECT doc_id, own, regexp_extract_all(own, '"([^"]{30,})"', 1) AS found FROM d)
+ SELECT doc_id, len(list_filter(found, lambda x: contains(own, left(trim(x, E' \\t\\n\\r\\f\\v'), 100)))) AS grounded, len(found) AS quotes FROM q""")
+def quotes_grounded(spark, sf):
+    """Quotations of every document, with every kind of quote; zeros where nothing is quoted."""
     text = F.coalesce("text", F.lit(""))
     return read(spark, sf, "documents").select("doc_id", T.grounded_quotes(text, text).alias("q")).select("doc_id", "q.*")
 
@@ -493,26 +480,20 @@ def jaccard_pairs(spark, sf):
     return S.pairs_within(read(spark, sf, "conversations"), "conv_id", "turn", "text", 0.05).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS kind, vec_id % 3 AS dec, embedding AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, 10 + CASE WHEN q.dec = r.dec THEN 5 ELSE 0 END AS linear,
- list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(r.e AS DOUBLE[])) AS cosine FROM v q JOIN v r ON q.kind = r.kind WHERE q.vec_id % 100 = 0 AND r.vec_id % 100 <> 0),
- m AS (SELECT *, max(linear) OVER (PARTITION BY query_id) AS most FROM p), c AS (SELECT *, 0.7 * (cosine + 1) / 2 + 0.3 * linear / most AS composite FROM m)
- SELECT query_id, ref_id, linear, round(cosine, 6) AS cosine, round(composite, 6) AS composite FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, linear DESC, ref_id) AS n FROM c) WHERE n = 1""")
+@query("""WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS kind, vec_id % 3 AS dec, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ p AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, CASE WHEN q.kind = r.kind THEN 10 WHEN r.kind = 'desconhecido' AND q.kind <> '' THEN 2 ELSE 0 END + CASE WHEN q.dec = r.dec THEN 5 ELSE 0 END AS linear,
+ greatest(-1.0, least(1.0, list_cosine_similarity(q.e, r.e))) AS cosine FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+ m AS (SELECT *, max(linear) OVER (PARTITION BY query_id) AS most FROM p),
+ c AS (SELECT *, 0.7 * (cosine + 1) / 2 + CASE WHEN most > 0 THEN 0.3 * linear / most ELSE 0 END AS composite FROM m),
+ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, linear DESC, ref_id) AS near, row_number() OVER (PARTITION BY query_id ORDER BY linear DESC, ref_id) AS first FROM c),
+ w AS (SELECT query_id, bool_or(near = 1 AND (linear >= 5 OR (cosine + 1) / 2 >= 0.70)) AS wins FROM n GROUP BY 1)
+ SELECT n.query_id, ref_id, linear, round(cosine, 6) AS cosine, round(composite, 6) AS composite FROM n JOIN w USING (query_id) WHERE (CASE WHEN wins THEN near ELSE first END) = 1 AND linear >= 5""")
 def retrieval_composite(spark, sf):
-    e = read(spark, sf, "embeddings")
-    row = [F.col("label").cast("string").alias("kind"), (F.col("vec_id") % 3).cast("string").alias("decision"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("topics"), F.col("embedding").alias("vector")]
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), *row)
-    refs = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row)
-    out = S.retrieve(queries, refs, where=F.expr("q.kind = r.kind"))
-    return out.select("query_id", "ref_id", "linear", F.round("cosine", 6).alias("cosine"), F.round("composite", 6).alias("composite"))
-
-
-@query()
-def retrieval_composite_all(spark, sf):
-    """retrieval_composite among the references of every kind, all rows but the query itself."""
+    """Best reference of each query (ids divisible by 100) among all rows but the query itself."""
     row = [F.col("label").cast("string").alias("kind"), (F.col("vec_id") % 3).cast("string").alias("decision"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("topics"), F.col("embedding").alias("vector")]
     e = read(spark, sf, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), *row)
-    return S.retrieve(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row), where=F.expr("q.query_id <> r.ref_id"))
+    return S.retrieve(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row), where=F.expr("q.query_id <> r.ref_id")).select("query_id", "ref_id", "linear", F.round("cosine", 6).alias("cosine"), F.round("composite", 6).alias("composite"))
 
 
 @query()

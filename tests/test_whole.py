@@ -28,15 +28,15 @@ def test_evidence_and_quotes_cover_every_document(spark, tmp_path):
     texts = [*given, None, "", " \n ", "İstanbul 😀 um valor\n\tde 12 é ação (x) + y", "x" * 20, f"“{long}” and '{long}' and «{long}»", f"´{long}`", '"short"']
     rows = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.start is not None and (r.start, r.n) or None for r in catalog.QUERIES["evidence_span_all"](spark, str(tmp_path)).collect()}
-    assert got == {i: span_of(t, (t or "")[len(t or "") // 2 :][:12].upper()) for i, t in rows}
+    got = {r.doc_id: (r.start, r.n) for r in catalog.QUERIES["evidence_span"](spark, str(tmp_path)).collect()}
+    assert got == {i: span_of(t, (t or "")[len(t or "") // 2 :][:12].upper()) or (-1, 0) for i, t in rows}
     plain = str.maketrans(dict.fromkeys("“”„‟«»‹›‘’‚‛'`´′″", '"'))
     want = {}
     for i, t in rows:
         own = (t or "").translate(plain)
         found = re.findall(r'"([^"]{30,})"', own)
         want[i] = (sum(x.strip()[:100] in own for x in found), len(found))
-    assert {r.doc_id: (r.grounded, r.quotes) for r in catalog.QUERIES["quotes_grounded_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: (r.grounded, r.quotes) for r in catalog.QUERIES["quotes_grounded"](spark, str(tmp_path)).collect()} == want
     loose = spark.createDataFrame([("😀 valor\n total  Devido", " VALOR total devido "), ("a\\b.c", "A\\B.C"), ("abc", "a.c"), (None, "a"), ("a", None)], "t string, w string")
     assert [r.s and tuple(r.s) for r in loose.select(T.span(F.col("t"), F.col("w")).alias("s")).collect()] == [(2, 22), (0, 5), None, None, None]
 
@@ -87,7 +87,7 @@ def test_retrieval_meets_every_reference(spark):
 def test_retrieval_query_meets_all_rows_but_itself(spark):
     rows = [{"ref_id": r.vec_id, "kind": str(r.label), "decision": str(r.vec_id % 3), "keys": [], "topics": [], "vector": list(r.embedding)} for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()]
     want = {q["ref_id"]: chosen(q, [r for r in rows if r is not q]) for q in rows if q["ref_id"] % 100 == 0}
-    got = {r.query_id: (r.ref_id, r.linear) for r in catalog.QUERIES["retrieval_composite_all"](spark, SF).collect()}
+    got = {r.query_id: (r.ref_id, r.linear) for r in catalog.QUERIES["retrieval_composite"](spark, SF).collect()}
     assert got == {k: v for k, v in want.items() if v}
 
 
