@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, likely_members
+from .common import cut, likely_members, marked_members
 from .components import connected_components
 
 #: Parameters of the sketch: registers, base, rate and largest register value.
@@ -33,8 +33,10 @@ BAND_ROWS = 4
 #: A pair goes on to the exact comparison unless its likelihood estimate is this far below the threshold
 #: (over six standard errors of 100 registers near 0.8).
 SLACK = 0.25
-#: Members in a block of the exact comparison inside a leader's group.
-BLOCK = 256
+#: Members in a block of the exact comparison inside a leader's group, and their shingles (both on average; a longer document has a block of its own size).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: A band or leader with more rows than LIGHT has its joins dealt over SALT tasks.
+LIGHT, SALT = 512, 64
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +190,18 @@ def _block_links(percent: int):
     return run
 
 
+def _salted(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """df(key, rep, ...) with salt: by rep for the keys that heavy lists (and the few others that its filter marks), else 0."""
+    marked = marked_members(df, F.col(key), heavy, "heavy")
+    return marked.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("rep"), F.lit(SALT))).otherwise(0).cast("int")).drop("heavy")
+
+
+def _join_salted(rows: DataFrame, info: DataFrame, spots: DataFrame) -> DataFrame:
+    """rows(key, salt, rep, ...) joined with info (one row a key), which is repeated for the salts that the key has in spots(key, salt)."""
+    key = spots.columns[0]
+    return rows.join(info.join(spots, key), [key, "salt"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles long, component_id long, kept boolean) for every row of docs.
 
@@ -210,11 +224,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = reps.select("digest", "rep")
 
     rows = reps.select("rep", F.explode("bands").alias("band"))
-    many = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    rows = cut(rows.join(many, "band"))
+    many = cut(rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"))
+    heavy = many.where(F.col("c") > LIGHT).select("band")
+    copies = marked_members(many, F.col("band"), heavy, "heavy").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("heavy"), SALT - 1).otherwise(0)))).drop("heavy")
+    rows = cut(_salted(rows, "band", heavy).join(copies, ["band", "salt"]))
     support = rows.groupBy("rep").agg(F.sum("c").alias("support"))
     lead = rows.join(support, "rep").groupBy("band").agg(F.max(F.struct("support", (-F.col("rep")).alias("neg"))).alias("m"))
-    stars = cut(rows.join(lead.select("band", (-F.col("m.neg")).alias("leader")), "band").select("leader", "rep").distinct())
+    stars = cut(_join_salted(rows, lead.select("band", (-F.col("m.neg")).alias("leader")), rows.select("band", "salt").distinct()).select("leader", "rep").distinct())
+    heavy = cut(stars.groupBy("leader").agg(F.count("*").alias("c")).where(F.col("c") > LIGHT).select("leader"))
+    stars = cut(_salted(stars, "leader", heavy))
+    spots = cut(stars.select("leader", "salt").distinct())
     pairs = stars.where("leader <> rep")
 
     near = pairs.select("leader").union(pairs.select("rep")).distinct().toDF("rep")
@@ -223,35 +242,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = cut(wanted.mapInArrow(_set_batches(width), "rep long, shingles array<long>"))
 
     info = reps.select("rep", "registers", "n")
-    judged = (pairs.join(info, "rep").join(info.toDF("leader", "registers_l", "n_l"), "leader")
+    led = info.join(pairs.select("leader").distinct().toDF("rep"), "rep").toDF("leader", "registers_l", "n_l")
+    judged = (_join_salted(pairs.join(info, "rep"), led, spots)
               .where((100 * F.least("n", "n_l") >= percent * F.greatest("n", "n_l")))
               .withColumn("estimate", _estimate("registers_l", "registers", "n_l", "n"))
               .where(F.col("estimate") >= percent / 100 - SLACK)
-              .select("leader", "rep"))
+              .select("leader", "rep", "salt"))
     judged = cut(judged)
     both = F.size(F.array_intersect("shingles", "shingles_l"))
     leaders = sets.toDF("leader", "shingles_l").join(judged.select("leader").distinct(), "leader", "left_semi")
-    linked = cut(judged.join(sets, "rep").join(leaders, "leader")
+    linked = cut(_join_salted(judged.join(sets, "rep"), leaders, spots)
                  .where(100 * both >= percent * (F.size("shingles") + F.size("shingles_l") - both))
                  .select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     first = cut(connected_components(linked))
 
     # What is left: leaders whose members lie in several components.
-    placed = stars.join(first, stars["rep"] == first["node"], "left").select("leader", "rep", F.coalesce("component", "rep").alias("component"))
-    own = placed.where("leader = rep").select("leader", F.col("component").alias("main"))
-    open_ = placed.groupBy("leader").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("leader")
-    rest = (placed.join(open_, "leader", "left_semi").join(own, "leader", "left")
-            .select("leader", "rep", "component", (~F.col("component").eqNullSafe(F.col("main"))).alias("loose")))
-    sizes = rest.groupBy("leader").agg(F.ceil(F.sum(F.col("loose").cast("int")) / BLOCK).cast("int").alias("bl"),
-                                       F.ceil(F.sum((~F.col("loose")).cast("int")) / BLOCK).cast("int").alias("bm"))
-    spread = F.pmod(F.xxhash64("rep"), F.when(F.col("loose"), F.greatest("bl", F.lit(1))).otherwise(F.greatest("bm", F.lit(1)))).cast("int")
-    loose_pairs = F.transform(F.sequence(F.lit(0), F.greatest("bl", F.lit(1)) - 1),
+    placed = (stars.join(first, stars["rep"] == first["node"], "left").select("leader", "rep", "salt", F.coalesce("component", "rep").alias("component"))
+              .join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep"))
+    groups = placed.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("leader") == F.col("rep"), F.col("component"))).alias("main"))
+    open_ = cut(groups.where("lo <> hi").select("leader", "main"))
+    rest = cut(_join_salted(placed, open_, spots).withColumn("loose", ~F.col("component").eqNullSafe(F.col("main"))).drop("main"))
+    blocks = lambda loose: F.greatest(F.ceil(F.count_if(loose) / BLOCK), F.ceil(F.sum(F.when(loose, F.col("n")).otherwise(0)) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = rest.groupBy("leader").agg(blocks(F.col("loose")).alias("bl"), blocks(~F.col("loose")).alias("bm"))
+    spread = F.pmod(F.xxhash64("rep"), F.when(F.col("loose"), F.col("bl")).otherwise(F.col("bm"))).cast("int")
+    loose_pairs = F.transform(F.sequence(F.lit(0), F.col("bl") - 1),
                               lambda k: F.struct(F.least(k, F.col("at")).alias("i"), F.greatest(k, F.col("at")).alias("j")))
-    main_pairs = F.transform(F.sequence(F.lit(0), F.greatest("bm", F.lit(1)) - 1),
+    main_pairs = F.transform(F.sequence(F.lit(0), F.col("bm") - 1),
                              lambda k: F.struct(F.col("at").alias("i"), (-1 - k).alias("j")))
-    back_pairs = F.transform(F.sequence(F.lit(0), F.greatest("bl", F.lit(1)) - 1),
+    back_pairs = F.transform(F.sequence(F.lit(0), F.col("bl") - 1),
                              lambda k: F.struct(k.alias("i"), (-1 - F.col("at")).alias("j")))
-    tasks = (rest.join(sizes, "leader").withColumn("at", spread)
+    tasks = (_join_salted(rest, sizes, spots).withColumn("at", spread)
              .withColumn("task", F.explode(F.when(F.col("loose"), F.concat(loose_pairs, main_pairs)).otherwise(back_pairs)))
              .select("leader", "rep", "component", "task.i", "task.j"))
     more = (tasks.join(sets, "rep").groupBy("leader", "i", "j").applyInArrow(_block_links(percent), "a long, b long"))
