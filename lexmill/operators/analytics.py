@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_even
+
 DECISIONS = ["ADMITIDO", "INADMITIDO", "INCONCLUSIVO"]
 
 
@@ -102,8 +104,8 @@ def routing_savings(light: Column, heavy: Column, strong: tuple[float, float], s
     """struct<all_strong, hybrid, savings, percent> of tokens of light and heavy tasks: light ones on the small model or all on the strong one; prices per million (input, output)."""
     cost = lambda tokens, price: tokens * (share * price[0] + (1 - share) * price[1]) / 1_000_000
     whole, hybrid = cost(light, strong) + cost(heavy, strong), cost(light, small) + cost(heavy, strong)
-    return F.struct(F.round(whole, 4).alias("all_strong"), F.round(hybrid, 4).alias("hybrid"), F.round(whole - hybrid, 4).alias("savings"),
-                    F.round(F.coalesce(F.try_divide((whole - hybrid) * 100, whole), F.lit(0.0)), 1).alias("percent"))
+    return F.struct(round_even(whole, 4).alias("all_strong"), round_even(hybrid, 4).alias("hybrid"), round_even(whole - hybrid, 4).alias("savings"),
+                    round_even(F.coalesce(F.try_divide((whole - hybrid) * 100, whole), F.lit(0.0)), 1).alias("percent"))
 
 
 def golden_metrics(cases: DataFrame) -> DataFrame:

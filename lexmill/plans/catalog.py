@@ -16,6 +16,8 @@ from ..operators import chunking as H
 from ..operators import decisions as D
 from ..operators import similarity as S
 from ..operators import state as ST
+from ..operators.reference_search import search_references
+from ..operators.set_join import similar_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -477,7 +479,8 @@ STOP = ", ".join(f"'{w}'" for w in lx.STOP_WORDS)
  SELECT a.conv_id, a.turn AS "left", b.turn AS "right", round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard
  FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.05""")
 def jaccard_pairs(spark, sf):
-    return S.pairs_within(read(spark, sf, "conversations"), "conv_id", "turn", "text", 0.05).withColumn("jaccard", F.round("jaccard", 6))
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", S.token_set(F.col("text")).alias("tokens"))
+    return similar_pairs(rows, "conv_id", "turn", "tokens", 0.05).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS kind, vec_id % 3 AS dec, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -493,7 +496,8 @@ def retrieval_composite(spark, sf):
     row = [F.col("label").cast("string").alias("kind"), (F.col("vec_id") % 3).cast("string").alias("decision"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("topics"), F.col("embedding").alias("vector")]
     e = read(spark, sf, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), *row)
-    return S.retrieve(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row), where=F.expr("q.query_id <> r.ref_id")).select("query_id", "ref_id", "linear", F.round("cosine", 6).alias("cosine"), F.round("composite", 6).alias("composite"))
+    found = search_references(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("vec_id").alias("position"), *row), other_id=True)
+    return found.select("query_id", "ref_id", F.col("linear").cast("int").alias("linear"), F.round("cosine", 6).alias("cosine"), F.round("composite", 6).alias("composite"))
 
 
 @query()

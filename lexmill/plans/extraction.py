@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions import text as T
+from ..functions.rounding import round_even_sql
 from ..operators import analytics as A
 from ..operators import decisions as D
 from ..operators import validation as V
@@ -326,13 +327,13 @@ def block_codes(spark, sf):
 PAGES = "SELECT conv_id AS doc_id, turn AS page, text, length(text) AS chars, role, CASE WHEN turn % 3 = 1 THEN 0.9 WHEN turn % 3 = 2 THEN 0.25 ELSE 0.0 END AS noise FROM conversations"
 
 
-@query(f"""WITH p AS (SELECT *, noise > 0.8 OR length(trim(text, {WS})) < 20 OR (role = 'system') AS wanted, CASE WHEN turn4 = 0 THEN ' ' ELSE concat('ocr ', left(text, 30)) END AS o FROM (SELECT *, page % 4 AS turn4 FROM ({PAGES})))
+@query(f"""WITH p AS (SELECT *, noise > 0.8 OR length(trim(text, {WS})) < 20 OR (role = 'system') AS wanted, CASE WHEN turn4 = 0 THEN ' ' ELSE concat('ocr ', upper(replace(left(text, 30), 'ß', 'SS'))) END AS o FROM (SELECT *, page % 4 AS turn4 FROM ({PAGES})))
  SELECT doc_id, page, CASE WHEN wanted AND trim(o) <> '' THEN o ELSE text END AS text, wanted AND trim(o) <> '' AS replaced FROM p""")
 def page_merge(spark, sf):
     pages = spark.sql(PAGES.replace("FROM conversations", "FROM {c}"), c=read(spark, sf, "conversations"))
     quality = F.when(F.col("role") == "system", 0.1).otherwise(0.9)
     wanted = pages.withColumn("wanted", V.needs_ocr(quality, F.col("noise"), F.length(T.strip(F.col("text")))))
-    ocr = pages.select("doc_id", "page", F.when(F.col("page") % 4 == 0, " ").otherwise(F.concat(F.lit("ocr "), F.left("text", F.lit(30)))).alias("text"))
+    ocr = pages.select("doc_id", "page", F.when(F.col("page") % 4 == 0, " ").otherwise(F.concat(F.lit("ocr "), F.upper(F.left("text", F.lit(30))))).alias("text"))
     return V.merge_ocr(wanted, ocr)
 
 
@@ -397,10 +398,11 @@ def timed_streak(spark, sf):
     return A.timed_streak(runs.withColumn("ts", F.when(F.col("run") % 7 != 6, F.col("ts"))), "run", "ts", "passed", 5)
 
 
-@query(f"""SELECT user_id, round(w, 4) AS all_strong, round(h, 4) AS hybrid, round(w - h, 4) AS savings, round(coalesce((w - h) * 100 / nullif(w, 0), 0), 1) AS percent FROM (SELECT user_id, l * CAST(8.5 AS DOUBLE) / 1000000 + b * CAST(8.5 AS DOUBLE) / 1000000 AS w, l * CAST(0.51 AS DOUBLE) / 1000000 + b * CAST(8.5 AS DOUBLE) / 1000000 AS h FROM
- (SELECT user_id, 7919 * CAST(coalesce(sum(k) FILTER (event_type = 'view'), 0) AS DOUBLE) AS l, 7919 * CAST(coalesce(sum(k) FILTER (event_type <> 'view'), 0) AS DOUBLE) AS b FROM {EV} GROUP BY 1))""")
+@query(f"""SELECT user_id, {round_even_sql('w', 4)} AS all_strong, {round_even_sql('h', 4)} AS hybrid, {round_even_sql('w - h', 4)} AS savings, {round_even_sql('coalesce((w - h) * 100 / nullif(w, 0), 0)', 1)} AS percent FROM (SELECT user_id,
+ l * CAST(8.5 AS DOUBLE) / 1000000 + b * CAST(8.5 AS DOUBLE) / 1000000 AS w, l * CAST(0.51 AS DOUBLE) / 1000000 + b * CAST(8.5 AS DOUBLE) / 1000000 AS h FROM
+ (SELECT user_id, 1000 * CAST(coalesce(sum(k) FILTER (event_type = 'view'), 0) AS DOUBLE) AS l, 1000 * CAST(coalesce(sum(k) FILTER (event_type <> 'view'), 0) AS DOUBLE) AS b FROM {EV} GROUP BY 1))""")
 def routing_savings(spark, sf):
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)) * 7919
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0)) * 1000
     use = events(spark, sf).groupBy("user_id").agg(of(F.col("event_type") == "view").alias("l"), of(F.col("event_type") != "view").alias("b"))
     return use.select("user_id", A.routing_savings(F.col("l"), F.col("b"), (2.5, 10.0), (0.15, 0.6)).alias("s")).select("user_id", "s.*")
 
