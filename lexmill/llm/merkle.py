@@ -94,7 +94,7 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        rows = cut(spark.sql("""
+        rows = spark.sql("""
             WITH RECURSIVE climb(row, step, tree, level, idx, slot, folded, siblings) AS (
               SELECT row, 0, tree, level, idx, slot, start, CAST(array() AS array<binary>) FROM lexmill_merkle_leaves
               UNION ALL
@@ -103,14 +103,16 @@ def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
                      concat(slice(children, 1, slot), slice(children, slot + 2, size(children)))
               FROM (SELECT c.row, c.step, c.slot, c.folded, n.children, n.up_tree, n.up_level, n.up_idx, n.up_slot
                     FROM climb c JOIN lexmill_merkle_nodes n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx))
-            SELECT row, step, folded, siblings FROM climb"""))
+            SELECT row, step, folded, siblings FROM climb""")
+        proof = F.array_sort(F.collect_list(F.struct("step", "siblings")))
+        made = rows.groupBy("row").agg(F.max_by("folded", "step").alias("folded"), proof.alias("p")).select(
+            "row", "folded", F.sha2(F.array_join(F.transform("p", lambda s: joined(s["siblings"])), ""), 256).alias("proof_sha256"), (F.size("p") - 1).alias("steps"))
+        # Written while the limit is off; what is kept is a line a leaf, not one a level.
+        return cut(made)
     finally:
         spark.conf.set(limit, before)
         spark.catalog.dropTempView("lexmill_merkle_leaves")
         spark.catalog.dropTempView("lexmill_merkle_nodes")
-    proof = F.array_sort(F.collect_list(F.struct("step", "siblings")))
-    return rows.groupBy("row").agg(F.max_by("folded", "step").alias("folded"), proof.alias("p")).select(
-        "row", "folded", F.sha2(F.array_join(F.transform("p", lambda s: joined(s["siblings"])), ""), 256).alias("proof_sha256"), (F.size("p") - 1).alias("steps"))
 
 
 def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), tree_col: str = "lang",
