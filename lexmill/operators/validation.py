@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parsing import merged_evidence
+from ..functions.rounding import let
+from ..functions.text import evidence as evidence_at
 from ..functions.text import search_form, span, strip
 
 #: Critical fields of the first stage and essential ones of a theme.
@@ -139,3 +142,84 @@ def document_pages(pages: DataFrame, least_text: int = 100, least_mean: int = 20
 
 def extraction_errors(quality: Column, noise: Column, least_quality: float = 0.2, most_noise: float = 0.95) -> Column:
     return alerts((quality < least_quality, "quality"), (noise > most_noise, "noise"))
+
+
+# --- mandatory checks of stages, back-fill ---------------------------------------------------------
+
+def _proof(field: str, has: Column, evidence: Column) -> list[tuple[Column, str]]:
+    """What the evidence of a field that says something lacks: itself, else quote, page and anchor."""
+    there = has & evidence.isNotNull()
+    return [(has & evidence.isNull(), f"no evidence: {field}"), (there & ~present(evidence["quote"]), f"no quote: {field}"),
+            (there & ~F.coalesce(evidence["page"] >= 1, F.lit(False)), f"no page: {field}"), (there & ~present(evidence["anchor"]), f"no anchor: {field}")]
+
+
+def stage_one_errors(row: Column, evidence: Column, verified: Column, inconclusive: Column, reason: Column) -> Column:
+    """Mandatory checks of the first stage: conclusive, the critical fields said, each with whole evidence (map<field, struct<quote, page, anchor>>) and verified (map<field, boolean>)."""
+    said = F.coalesce(F.nullif(reason, F.lit("")), F.lit("no reason given"))
+    out = [(F.coalesce(inconclusive, F.lit(False)), F.concat(F.lit("inconclusive: "), said)), *((~F.coalesce(row[c] != "", F.lit(False)), f"missing: {c}") for c in CRITICAL)]
+    for c in CRITICAL:
+        e = F.try_element_at(evidence, F.lit(c))
+        out += _proof(c, present(row[c]), e)
+        out.append((present(row[c]) & e.isNotNull() & ~F.coalesce(F.try_element_at(verified, F.lit(c)), F.lit(False)), f"not verified: {c}"))
+    return alerts(*out)
+
+
+def stage_two_theme_errors(theme: Column, evidence: Column) -> Column:
+    """Mandatory checks of one theme: its essential fields said, each with whole evidence."""
+    said = lambda c: F.size(F.coalesce(theme[c], F.array().cast("array<string>"))) > 0 if c == "obstacles" else present(theme[c])
+    empty = lambda c: ~said(c) if c == "obstacles" else ~F.coalesce(theme[c] != "", F.lit(False))
+    out = [(empty(c), f"missing: {c}") for c in ESSENTIAL]
+    for c in ESSENTIAL:
+        out += _proof(c, said(c), F.try_element_at(evidence, F.lit(c)))
+    return alerts(*out)
+
+
+def stage_two_errors(cases: DataFrame, themes: DataFrame) -> DataFrame:
+    """(case_id, idx, errors) of each theme of themes(case_id, idx, theme struct, evidence map) with errors, and of each case without themes (idx null)."""
+    own = themes.select("case_id", "idx", stage_two_theme_errors(F.col("theme"), F.col("evidence")).alias("errors")).where(F.size("errors") > 0)
+    bare = cases.select("case_id").join(themes.select("case_id").distinct(), "case_id", "left_anti")
+    return own.union(bare.select("case_id", F.lit(None).cast(own.schema["idx"].dataType).alias("idx"), F.array(F.lit("no themes")).alias("errors")))
+
+
+def section_one_alerts(draft: Column, row: Column) -> Column:
+    """What of the first stage the draft's first section leaves out: the case number as it is written, appellant and species in any case."""
+    text = F.coalesce(draft, F.lit(""))
+    held = lambda c: F.contains(text, row[c]) if c == "case_number" else F.contains(F.upper(text), F.upper(row[c]))
+    return alerts(*((F.coalesce(row[c] != "", F.lit(False)) & ~held(c), f"section I lacks {c}") for c in CRITICAL))
+
+
+def theme_value(theme: Column, field: str) -> Column:
+    """A theme's field as one text."""
+    strip_ = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return F.array_join(F.filter(F.transform(theme[field], strip_), lambda o: o != ""), "; ") if field == "obstacles" else strip_(theme[field])
+
+
+def theme_evidence_alerts(theme: Column, evidence: Column, source: Column) -> Column:
+    """What the evidence of a theme's essential fields lacks, a quote that the source doesn't hold among it."""
+    out = []
+    for c in ESSENTIAL:
+        e, has = F.try_element_at(evidence, F.lit(c)), theme_value(theme, c) != ""
+        out += _proof(c, has, e)
+        out.append((has & present(e["quote"]) & span(source, e["quote"]).isNull(), f"quote not in source: {c}"))
+    return alerts(*out)
+
+
+def backfilled(value: Column, given: Column, source: Column) -> Column:
+    """A field's evidence struct<quote, page, anchor, start>: what is given where it is whole (quote, anchor and page), else filled up with where the source holds the value; a blank
+    value keeps what is given."""
+    return _filled(given, F.when(present(value), evidence_at(source, value)))
+
+
+def _filled(given: Column, made: Column) -> Column:
+    def of(x: Column) -> Column:
+        g, m = x["given"], x["made"]
+        whole = g.isNotNull() & present(g["quote"]) & present(g["anchor"]) & g["page"].isNotNull()
+        return F.when(F.coalesce(whole, F.lit(False)) | m.isNull(), g).otherwise(merged_evidence(g, m))
+
+    return let(F.struct(given.alias("given"), made.alias("made")), of)
+
+
+def backfilled_any(values: Column, given: Column, source: Column) -> Column:
+    """As backfilled, for a field of several values: the first that the source holds counts."""
+    first = F.try_element_at(F.filter(F.transform(F.filter(values, present), lambda v: evidence_at(source, v)), lambda e: e.isNotNull()), F.lit(1))
+    return _filled(given, first)
