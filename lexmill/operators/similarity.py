@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,26 +61,84 @@ def equivalent(a: dict, b: dict) -> bool:
     return near and full >= 0.68 or jac >= 0.58 and 0.45 * jac + 0.35 * seq + 0.20 * full >= 0.80
 
 
+class _Kept:
+    """The kept themes of one case, with postings of their tokens and of the character pairs of their subjects.
+
+    Shared tokens and shared character pairs of a new theme with all kept ones are counted from its own postings, so only themes that can be
+    equivalent are compared: those of the same subject, of a Jaccard similarity of 0.58, or of a subject that shares enough character pairs for a ratio of 0.82 (with m of t
+    characters matched there are t - 2m others, so at most t - 2m + 1 matching blocks and at least 3m - t - 1 pairs inside them).
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []  # by slot
+        self.slot, self.alive, self.tokens, self.length = array("i"), array("b"), array("i"), array("i")  # by entry; a replaced theme's entry is dead
+        self.entry: list[int] = []  # by slot
+        self.by_token: dict[str, array] = {}
+        self.by_pair: dict[str, array] = {}
+        self.by_subject: dict[str, set[int]] = {}
+
+    @staticmethod
+    def pairs(subject: str) -> list[str]:
+        """Neighbouring characters, those that come again numbered."""
+        seen: dict[str, int] = {}
+        out = []
+        for a, b in zip(subject, subject[1:], strict=False):
+            n = seen[a + b] = seen.get(a + b, 0) + 1
+            out.append(f"{a}{b}{n}")
+        return out
+
+    def put(self, row: dict, slot: int) -> None:
+        if slot == len(self.rows):
+            self.rows.append(row)
+            self.entry.append(len(self.slot))
+        else:
+            self.by_subject[self.rows[slot]["subject"]].discard(slot)
+            self.alive[self.entry[slot]] = 0
+            self.rows[slot], self.entry[slot] = row, len(self.slot)
+        e = len(self.slot)
+        self.slot.append(slot)
+        self.alive.append(1)
+        self.tokens.append(len(set(row["tokens"])))
+        self.length.append(len(row["subject"]))
+        self.by_subject.setdefault(row["subject"], set()).add(slot)
+        for t in set(row["tokens"]):
+            self.by_token.setdefault(t, array("i")).append(e)
+        for p in self.pairs(row["subject"]):
+            self.by_pair.setdefault(p, array("i")).append(e)
+
+    def candidates(self, row: dict) -> list[int]:
+        """Slots in their order."""
+        if not row["subject"] or not self.slot:
+            return []  # without subjects no condition can hold
+        count = lambda index, keys: np.bincount(np.concatenate([np.zeros(0, np.intc), *(np.frombuffer(index[k], np.intc) for k in keys if k in index)]), minlength=len(self.slot))
+        own, n, size = set(row["tokens"]), np.frombuffer(self.tokens, np.intc), np.frombuffer(self.length, np.intc)
+        shared, total = count(self.by_token, own), size + len(row["subject"])
+        near = shared >= 0.58 * (len(own) + n - shared) - 1e-9
+        alike = count(self.by_pair, self.pairs(row["subject"])) >= 3 * 0.41 * total - total - 1 - 1e-6
+        hit = np.flatnonzero((np.frombuffer(self.alive, np.int8) == 1) & (size > 0) & (near & (shared > 0) | alike))
+        return sorted({self.slot[int(e)] for e in hit} | self.by_subject.get(row["subject"], set()))
+
+
 def dedup_themes(themes: DataFrame) -> DataFrame:
-    """Greedy dedup in order within each case of themes(case_id, idx, subject, text, tokens, obstacles, completeness): a duplicate replaces
-    what was kept when it is more complete. Cases stream in order; only the kept themes of one case are held."""
+    """Greedy dedup in order within each case of themes(case_id, idx, subject, text, tokens, obstacles, completeness): a duplicate of the first kept theme that says the same replaces
+    it when it is more complete. Cases stream in order; the kept themes of one case are held, and each theme is compared with those alone that it can equal."""
     names = ["case_id", "idx", "subject", "text", "tokens", "obstacles", "completeness"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        case, kept = None, []
+        case, kept = None, _Kept()
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array([k[c] for k in rows], pa.int64()) for c in names[:2]], names[:2])
         for batch in batches:
             for row in batch.to_pylist():
                 if row["case_id"] != case:
-                    yield out(kept)
-                    case, kept = row["case_id"], []
+                    yield out(kept.rows)
+                    case, kept = row["case_id"], _Kept()
                 row |= {"subject": row["subject"] or "", "text": row["text"] or "", "tokens": row["tokens"] or [], "obstacles": row["obstacles"] or [], "completeness": row["completeness"] or 0}
-                at = next((i for i, k in enumerate(kept) if equivalent(row, k)), None)
+                at = next((i for i in kept.candidates(row) if equivalent(row, kept.rows[i])), None)
                 if at is None:
-                    kept.append(row)
-                elif row["completeness"] > kept[at]["completeness"]:
-                    kept[at] = row
-        yield out(kept)
+                    kept.put(row, len(kept.rows))
+                elif row["completeness"] > kept.rows[at]["completeness"]:
+                    kept.put(row, at)
+        yield out(kept.rows)
 
     rows = themes.select(F.col("case_id").cast("long").alias("case_id"), F.col("idx").cast("long").alias("idx"), *names[2:])
     return rows.repartition("case_id").sortWithinPartitions("case_id", "idx").mapInArrow(run, "case_id long, idx long")

@@ -16,6 +16,7 @@ from ..operators import chunking as H
 from ..operators import decisions as D
 from ..operators import similarity as S
 from ..operators import state as ST
+from ..operators import validation as V
 from ..operators.reference_search import search_references
 from ..operators.set_join import similar_pairs
 
@@ -502,8 +503,12 @@ def retrieval_composite(spark, sf):
 
 @query()
 def dedup_themes(spark, sf):
+    """Turns as themes: the first sentence is the subject, an assistant's turn a conclusion, a long one has an excerpt."""
     rows = read(spark, sf, "conversations")
-    subject = T.search_form(F.substring("text", 1, 60))
-    themes = rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("idx"), subject.alias("subject"), T.search_form(F.col("text")).alias("text"),
-                         S.token_set(F.col("text")).alias("tokens"), F.array().cast("array<string>").alias("obstacles"), F.length("text").alias("completeness"))
+    subject = F.regexp_extract("text", r"^[^.!?\n]*", 0)
+    theme = F.struct(subject.alias("subject"), F.when(F.col("role") == "assistant", F.col("text")).alias("conclusion"), F.when(F.col("role") == "system", F.col("text")).alias("binding"),
+                     F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)).alias("obstacles"), F.when(F.length("text") > 200, F.substring("text", 1, 220)).alias("excerpt"))
+    rows = rows.select("conv_id", "turn", "text", theme.alias("t"))
+    themes = rows.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("idx"), T.search_form(F.col("t.subject")).alias("subject"), T.search_form(F.col("text")).alias("text"),
+                         S.token_set(F.col("text")).alias("tokens"), F.col("t.obstacles").alias("obstacles"), V.completeness(F.col("t")).alias("completeness"))
     return S.dedup_themes(themes)
