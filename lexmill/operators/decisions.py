@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.rounding import let
+from ..functions.text import strip
 
 
 def theme_signals(cases: DataFrame, themes: DataFrame) -> DataFrame:
@@ -114,3 +116,44 @@ def distinct_items(items: DataFrame, key: str, item: str, pos: str, most: int =
     once = items.where(low != "").groupBy(key, low.alias("form")).agg(F.min(F.struct(F.col(pos).alias("at"), F.trim(item).alias("item"))).alias("m")).select(key, "m.*")
     rank = F.row_number().over(W.partitionBy(key).orderBy("at", "item"))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "item")
+
+
+# --- final decision ------------------------------------------------------------------------------
+
+# The warning of an inconclusive draft, the forms in which a draft may hold it, and the reason where none is given.
+WARNING = "Decisão jurídica inconclusiva: Requer análise adicional."
+WARNED = [r"decis[aã]o\s+jur[ií]dica\s+inconclusiva", r"aviso\s*:\s*decis[aã]o.*inconclus", r"\[inconclusiv[oa]\]"]
+NO_GROUNDS = "Evidências insuficientes ou conflitantes para decisão conclusiva."
+
+
+def warns(draft: Column) -> Column:
+    """Whether a draft says that its decision is inconclusive."""
+    return F.coalesce(draft.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in WARNED)), F.lit(False))
+
+
+def with_warning(draft: Column, reason: Column) -> Column:
+    """The draft, with the warning (and the reason, if there is another) before it unless it warns already."""
+    why, own = strip(F.coalesce(reason, F.lit(""))), strip(F.coalesce(draft, F.lit("")))
+    note = F.concat(F.lit(f"AVISO: {WARNING}"), F.when((why != "") & (why != WARNING), F.concat(F.lit(" Motivo: "), why)).otherwise(""))
+    return F.when(warns(draft), draft).when(own == "", note).otherwise(F.concat(note, F.lit("\n\n"), own))
+
+
+def merged_items(*lists: Column) -> Column:
+    """The non-blank items of all lists in their order, once each whatever their case."""
+    all_ = F.filter(F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), lambda i: strip(F.coalesce(i, F.lit("")))), lambda i: i != "")
+    low = lambda x: F.transform(x, F.lower)
+    return let(all_, lambda x: F.filter(x, lambda item, i: F.array_position(low(x), F.lower(item)) == i + 1))
+
+
+def final_decisions(rows: DataFrame) -> DataFrame:
+    """rows(case_id, computed, said, draft, grounds, given_grounds, given_items, collected_items) -> (case_id, decision, diverges, draft, warned, grounds, items, code, reason).
+
+    The computed decision holds whatever the draft's own says; an inconclusive one puts the warning into the draft and has a code, and its first ground as reason.
+    """
+    open_ = F.col("computed") == "INCONCLUSIVO"
+    first = F.try_element_at(F.filter(F.transform(F.coalesce("grounds", F.array().cast("array<string>")), strip), lambda g: g != ""), F.lit(1))
+    draft = F.when(open_, with_warning(F.col("draft"), F.try_element_at("grounds", F.lit(1)))).otherwise(F.col("draft"))
+    out = rows.withColumn("_draft", draft)
+    return out.select("case_id", F.col("computed").alias("decision"), F.coalesce((F.coalesce("said", F.lit("")) != "") & (F.col("said") != F.col("computed")), F.lit(False)).alias("diverges"), F.col("_draft").alias("draft"),
+                      warns(F.col("_draft")).alias("warned"), merged_items(F.col("grounds"), F.col("given_grounds")).alias("grounds"), merged_items(F.col("given_items"), F.col("collected_items")).alias("items"),
+                      F.when(open_, "E3_INCONCLUSIVO").otherwise("").alias("code"), F.when(open_, F.coalesce(first, F.lit(NO_GROUNDS))).otherwise("").alias("reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import merged_evidence
-from ..functions.rounding import let
+from ..functions.rounding import let, round_even
 from ..functions.text import evidence as evidence_at
 from ..functions.text import search_form, span, strip
 
@@ -223,3 +223,28 @@ def backfilled_any(values: Column, given: Column, source: Column) -> Column:
     """As backfilled, for a field of several values: the first that the source holds counts."""
     first = F.try_element_at(F.filter(F.transform(F.filter(values, present), lambda v: evidence_at(source, v)), lambda e: e.isNotNull()), F.lit(1))
     return _filled(given, first)
+
+
+def theme_checks(theme: Column, evidence: Column) -> Column:
+    """array<boolean> of 4 x 5 checks: each essential field is said, has evidence, with quote, page and anchor; all five fail for a field that isn't said."""
+    out = []
+    for c in ESSENTIAL:
+        said = F.size(F.coalesce(theme[c], F.array().cast("array<string>"))) > 0 if c == "obstacles" else present(theme[c])
+        e = F.try_element_at(evidence, F.lit(c))
+        out += [said, said & e.isNotNull(), said & present(e["quote"]), said & F.coalesce(e["page"] >= 1, F.lit(False)), said & present(e["anchor"])]
+    return F.array(*out)
+
+
+def retry_hints(missing: Column, evidence: Column, verifier: Column, error: Column | None = None) -> Column:
+    """array<string>: what a second try should mend, by kind of alert; one general hint if there is nothing.  error is the text of a failed parse or null."""
+    kinds = [("Fill in the missing fields: ", missing), ("Mend the evidence (quote, page, anchor): ", evidence), ("Mend what the source contradicts: ", verifier)]
+    hints = [F.when(F.size(a) > 0, F.concat(F.lit(t), F.array_join(a, " | "))) for t, a in kinds]
+    failed = [F.when(error.isNotNull(), F.lit("The last answer wasn't valid JSON. Return strict JSON.")), F.concat(F.lit("Error: "), error)] if error is not None else []
+    found = F.array_compact(F.array(*failed, *hints))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Keep to the schema, critical fields first.")))
+
+
+def case_extraction(docs: DataFrame) -> DataFrame:
+    """(case_id, documents, quality, noise) means to three places over docs(case_id, quality, noise)."""
+    return docs.groupBy("case_id").agg(F.count("*").alias("documents"), F.avg("quality").alias("q"), F.avg("noise").alias("n")).select(
+        "case_id", "documents", round_even(F.coalesce("q", F.lit(0.0)), 3).alias("quality"), round_even(F.coalesce("n", F.lit(0.0)), 3).alias("noise"))

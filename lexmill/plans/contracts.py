@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as J
 from ..functions.rounding import round_even_sql
+from ..operators import decisions as D
 from ..operators import fallback as FB
 from ..operators import merging as M
 from ..operators import prompts as PR
@@ -158,6 +159,45 @@ def evidence_backfill(spark, sf):
     return out.select("doc_id", F.when(F.col("e.quote") == "given", "given").when(F.col("e.quote").isNotNull(), "made").alias("quote"), F.col("e.start").cast("long").alias("start"))
 
 
+FINAL = """SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'ADMITIDO' WHEN 'O' THEN 'INADMITIDO' ELSE 'INCONCLUSIVO' END AS computed, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ADMITIDO' WHEN 2 THEN 'INADMITIDO' END AS said,
+ CASE o_custkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN 'Minuta. Decisão  Jurídica inconclusiva' WHEN 2 THEN 'x [Inconclusiva]' ELSE concat(' Minuta ', o_orderpriority, ' ') END AS draft,
+ CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE concat('Fundamento ', CAST(o_custkey % 7 AS STRING)) END AS ground, CASE WHEN o_custkey % 2 = 0 THEN concat('FUNDAMENTO ', CAST(o_custkey % 3 AS STRING)) ELSE 'outro' END AS given FROM """
+
+
+@query(f"""WITH r AS ({FINAL.replace("STRING", "VARCHAR")} orders), w AS (SELECT *, trim(ground) AS why, regexp_matches(lower(draft), 'decis[aã]o\\s+jur[ií]dica\\s+inconclusiva|\\[inconclusiv[oa]\\]') AS warned0 FROM r),
+ d AS (SELECT *, CASE WHEN computed = 'INCONCLUSIVO' AND NOT warned0 THEN 'AVISO: Decisão jurídica inconclusiva: Requer análise adicional.' || CASE WHEN why <> '' THEN ' Motivo: ' || why ELSE '' END || CASE WHEN trim(draft) <> '' THEN {NL} || {NL} || trim(draft) ELSE '' END
+  ELSE draft END AS out FROM w)
+ SELECT case_id, computed AS decision, coalesce(said <> '' AND said <> computed, false) AS diverges, sha256(out) AS draft, computed = 'INCONCLUSIVO' OR warned0 AS warned,
+ CASE WHEN why = '' OR lower(why) = lower(given) THEN CASE WHEN why = '' THEN given ELSE why END ELSE why || '|' || given END AS grounds, CASE WHEN computed = 'INCONCLUSIVO' THEN 'E3_INCONCLUSIVO' ELSE '' END AS code,
+ CASE WHEN computed <> 'INCONCLUSIVO' THEN '' WHEN why = '' THEN 'Evidências insuficientes ou conflitantes para decisão conclusiva.' ELSE why END AS reason FROM d""")
+def final_decisions(spark, sf):
+    rows = spark.sql(FINAL + "{o}", o=read(spark, sf, "orders"))
+    none = F.array().cast("array<string>")
+    out = D.final_decisions(rows.withColumns({"grounds": F.array("ground"), "given_grounds": F.array("given"), "given_items": none, "collected_items": none}))
+    return out.select("case_id", "decision", "diverges", F.sha2("draft", 256).alias("draft"), "warned", F.array_join("grounds", "|").alias("grounds"), "code", "reason")
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS s, l_returnflag = 'R' AS c, l_quantity > 10 AS o, l_tax > 0.02 AS x, l_linenumber % 3 AS e, l_discount > 0.03 AS page FROM lineitem),
+ f AS (SELECT *, [s, c, o, x] AS said FROM t), k AS (SELECT l_orderkey, l_linenumber, len(list_filter(said, lambda v: v)) AS n, e, page FROM f),
+ q AS (SELECT *, n + CASE WHEN e = 0 THEN 0 ELSE n + n * CASE WHEN e = 1 THEN 1 ELSE 0 END + n * CASE WHEN page THEN 1 ELSE 0 END + n END AS ok FROM k)
+ SELECT l_orderkey AS case_id, l_linenumber AS idx, round(greatest(0.0, least(1.0, 1 - least(1.0, pow((20 - ok) / 20, CAST(1.35 AS DOUBLE)) * CAST(1.15 AS DOUBLE)))), 3) AS confidence FROM q""")
+def theme_confidence(spark, sf):
+    li = read(spark, sf, "lineitem")
+    some = lambda c: F.when(c, F.lit("v")).otherwise(F.lit(" "))
+    theme = F.struct(some(F.col("l_linenumber") % 2 == 0).alias("subject"), some(F.col("l_returnflag") == "R").alias("conclusion"), F.when(F.col("l_quantity") > 10, F.array(F.lit("o"))).otherwise(F.array().cast("array<string>")).alias("obstacles"),
+                     some(F.col("l_tax") > 0.02).alias("excerpt"))
+    proof = F.struct(some(F.col("l_linenumber") % 3 == 1).alias("quote"), F.when(F.col("l_discount") > 0.03, F.lit(1)).otherwise(F.lit(0)).alias("page"), F.lit("a").alias("anchor"))
+    proofs = F.when(F.col("l_linenumber") % 3 != 0, F.create_map(*(x for c in V.ESSENTIAL for x in (F.lit(c), proof)))).otherwise(F.create_map().cast("map<string, struct<quote: string, page: int, anchor: string>>"))
+    checks = li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("idx"), V.theme_checks(theme, proofs).alias("k"))
+    return checks.select("case_id", "idx", D.stage_confidence(F.size("k") - V.passed(F.col("k")), F.size("k"), F.lit(False)).alias("confidence"))
+
+
+@query(f"""WITH d AS (SELECT source, CAST(n_chars % 100 AS DOUBLE) / 100 AS q, CAST(doc_id % 40 AS DOUBLE) / 80 AS n FROM documents) SELECT source AS case_id, count(*) AS documents, {round_even_sql('avg(q)', 3)} AS quality, {round_even_sql('avg(n)', 3)} AS noise FROM d GROUP BY 1""")
+def case_extraction(spark, sf):
+    d = read(spark, sf, "documents")
+    return V.case_extraction(d.select(F.col("source").alias("case_id"), (F.col("n_chars") % 100 / 100.0).alias("quality"), (F.col("doc_id") % 40 / 80.0).alias("noise")))
+
+
 # --- prompts -------------------------------------------------------------------------------------
 
 REQUIRED = [("system", None), ("user", "an"), ("user", "que"), ("assistant", "the"), ("assistant", "er")]

@@ -31,6 +31,22 @@ def snapshot_alerts(snapshots: DataFrame) -> DataFrame:
     return snapshots.select(F.explode(F.array_distinct(F.filter(all_, lambda a: F.trim(a) != ""))).alias("alert"))
 
 
+REPORT = "generated_at string, passed boolean, gates array<struct<metric: string, observed: double, threshold: double, passed: boolean>>"
+
+
+def read_reports(spark: SparkSession, path: str, prefix: str = "quality_gate_report_", schema: str = REPORT) -> DataFrame:
+    """(file, generated_at, passed, ...) of the JSON reports of a kind in a folder, whose file names give their order; a file that doesn't parse has nulls alone."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", f"{prefix}*.json").json(path)
+    return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def read_golden_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(version, case, ...) of the golden cases under v*/case_*.json of a folder."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "case_*.json").json(f"{path.rstrip('/')}/v*")
+    parts = F.split(F.input_file_name(), "/")
+    return rows.withColumns({"version": F.element_at(parts, -2), "case": F.regexp_replace(F.element_at(parts, -1), r"\.json$", "")})
+
+
 def docx_text(data: bytes) -> str:
     """Paragraphs, then table rows with cells joined by ` | `."""
     root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
@@ -29,3 +30,20 @@ def long_format(df: DataFrame, key: str) -> DataFrame:
     """(key, metric, value) of all other columns."""
     others = [c for c in df.columns if c != key]
     return df.select(key, *(F.col(c).cast("double").alias(c) for c in others)).unpivot(key, others, "metric", "value")
+
+
+def write_report(rows: DataFrame, path: str, kind: str, run: str) -> None:
+    """Add a report's rows to a table of its kind, in a folder for each run; writing a run anew replaces that run alone."""
+    rows.withColumns({"kind": F.lit(kind), "run": F.lit(run)}).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("kind", "run").json(path)
+
+
+def gate_report(gates: DataFrame) -> DataFrame:
+    """One row (passed, gates) of quality_gate rows, all of which must pass."""
+    one = F.struct("metric", "observed", "threshold", "passed")
+    return gates.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"), F.array_sort(F.collect_list(one)).alias("gates"))
+
+
+def metrics_markdown(metrics: DataFrame, title: str) -> DataFrame:
+    """(place, line) of a report in Markdown over (metric, value) rows: a title, then a line each by name."""
+    lines = metrics.select((F.row_number().over(W.orderBy("metric")) + 1).alias("place"), F.concat(F.lit("- "), "metric", F.lit(": "), F.format_string("%.4f", "value")).alias("line"))
+    return metrics.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(f"# {title}").alias("line")).union(lines)
