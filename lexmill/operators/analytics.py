@@ -138,9 +138,9 @@ def first_said(*paths: Column) -> Column:
 
 
 def gate_streak(runs: DataFrame, order: str, passed: str, need: int = 3) -> DataFrame:
-    """One row: runs, trailing passes after the last failure, and whether they are enough."""
-    later_failures = F.count_if(~F.col(passed)).over(W.orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
-    out = runs.withColumn("later", later_failures).agg(F.count("*").alias("runs"), F.count_if(F.col("later") == 0).alias("streak"))
+    """One row: runs, trailing passes after the last failure, and whether they are enough.  Two aggregations; no window spans all runs."""
+    failed = runs.agg(F.max(F.when(~F.col(passed), F.col(order))).alias("_failed"))
+    out = runs.crossJoin(F.broadcast(failed)).agg(F.count("*").alias("runs"), F.count_if(F.col("_failed").isNull() | (F.col(order) > F.col("_failed"))).alias("streak"))
     return out.withColumn("passed", F.col("streak") >= need)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.text import search_form
+from .set_join import similar_pairs
 
 
 def token_set(text: Column, stop: list[str] = lx.STOP_WORDS) -> Column:
@@ -29,10 +30,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def pairs_within(df: DataFrame, key: str, item: str, text: str, least: float) -> DataFrame:
-    """Pairs of items of the same key (a case or a conversation, whose items are few) with Jaccard of at least `least`."""
-    rows = df.select(key, F.col(item).alias("i"), token_set(F.col(text)).alias("t"))
-    both = rows.alias("a").join(rows.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") < F.col("b.i")))
-    return both.select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("left"), F.col("b.i").alias("right"), jaccard(F.col("a.t"), F.col("b.t")).alias("jaccard")).where(F.col("jaccard") >= least)
+    """(key, left, right, jaccard) of pairs of items of the same key with Jaccard of at least `least`, by set_join.similar_pairs."""
+    return similar_pairs(df.select(key, item, token_set(F.col(text)).alias("_tokens")), key, item, "_tokens", least)
 
 
 def equivalent(a: dict, b: dict) -> bool:

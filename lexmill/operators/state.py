@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,11 +84,19 @@ class Breaker:
 
 
 def breaker_trace(calls: DataFrame, failures: int = 5, reset: float = 60.0) -> DataFrame:
-    """calls(key string, seq long, ts double, ok boolean) -> (key, seq, allowed, state), in order of ts and seq within each key."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        b = Breaker(failures, reset)
-        steps = [b.step(t, bool(ok)) for t, ok in zip(pdf["ts"], pdf["ok"], strict=True)]
-        return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "allowed": [s[0] for s in steps], "state": [s[1] for s in steps]})
-
-    return calls.select("key", "seq", "ts", "ok").groupBy("key").applyInPandas(run, "key string, seq long, allowed boolean, state string")
+    """calls(key string, seq long, ts double, ok boolean) -> (key, seq, allowed, state), in order of ts and seq within each key.
+
+    Calls stream in order through the tasks, each of which holds the breaker of one key and no calls.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b = None, Breaker(failures, reset)
+        for batch in batches:
+            steps = []
+            for key, at, ok in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if key != last:
+                    last, b = key, Breaker(failures, reset)
+                steps.append(b.step(at, bool(ok)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s[0] for s in steps], pa.bool_()), pa.array([s[1] for s in steps], pa.string())], ["key", "seq", "allowed", "state"])
+
+    rows = calls.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("double").alias("ts"), "ok")
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "seq").mapInArrow(run, "key string, seq long, allowed boolean, state string")
