@@ -19,16 +19,37 @@ from lexmill.llm.language_id import UND, fit_profiles, held_out, predict_languag
 from lexmill.llm.near_dedup import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this cosine a text is like no language that was learned.  Prose of a few words stays above it.
-LEAST_SCORE = 0.02
+#: A text goes whose cosine lies below SHARE of what all but LOW of the labelled texts with as many letters (to a factor of two) reach: it is like no language that was
+#: learned.  LEAST_SCORE is the limit where no labelled text is as short.
+SHARE, LOW, LEAST_SCORE = 0.6, 0.002, 0.02
 TOKENIZER = "word_bpe_49k.json"
 
 
+def score_limits(rows: DataFrame) -> dict[int, float]:
+    """Least score by the binary logarithm of the number of letters, from labelled rows(size int, score double): counts by size and thousandth of a score, at most some ten thousand, reach the driver."""
+    counts = rows.groupBy("size", F.floor(F.col("score") * 1000).cast("int").alias("at")).agg(F.count("*").alias("n")).orderBy("size", "at").collect()
+    limits: dict[int, float] = {}
+    for size in sorted({r["size"] for r in counts}):
+        own, seen = [r for r in counts if r["size"] == size], 0
+        total = sum(r["n"] for r in own)
+        for r in own:
+            seen += r["n"]
+            if seen > LOW * total:
+                limits[size] = SHARE * r["at"] / 1000
+                break
+    return limits
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter or with a score below LEAST_SCORE."""
+    """Rejects texts without a letter, and those whose score is below the limit for their length (that of the next shorter length with labelled texts where there are none)."""
     profiles = fit_profiles(docs.where(~held_out()))
-    judged = docs.select(*COLUMNS, predict_language(profiles, F.col("text")).alias("p"))
-    return judged.where((F.col("p.lang_pred") != UND) & (F.col("p.score") >= LEAST_SCORE)).select(*COLUMNS)
+    letters = F.length(F.regexp_replace(text_or_empty(F.col("text")), r"\P{L}+", ""))
+    judged = cut(docs.select(*COLUMNS, F.floor(F.log2(F.greatest(letters, F.lit(1)))).cast("int").alias("size"), predict_language(profiles, F.col("text")).alias("p")))
+    limits = score_limits(judged.where(F.col("lang").isNotNull() & (F.col("p.lang_pred") != UND)).select("size", "p.score"))
+    limit = F.lit(LEAST_SCORE)
+    for size, least in sorted(limits.items()):
+        limit = F.when(F.col("size") >= size, max(least, LEAST_SCORE)).otherwise(limit)
+    return judged.where((F.col("p.lang_pred") != UND) & (F.col("p.score") >= limit)).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
