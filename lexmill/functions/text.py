@@ -171,7 +171,7 @@ def evidence(text: Column, term: Column, around: int = 60, longest: int = 180, w
 
 def quotations(text: Column, least: int = 30) -> Column:
     """Quotations between double quotes of any kind."""
-    return F.regexp_extract_all(plain_quotes(text, "“”„‟«»‹›‘’‚‛′″`"), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
+    return F.regexp_extract_all(plain_quotes(text), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str, headers: str = r"EMENTA|RELATÓRIO|VOTO|DISPOSITIVO|DECISÃO|ACÓRDÃO", first: str = "PREÂMBULO") -> DataFrame:
@@ -187,7 +187,6 @@ def sections(docs: DataFrame, id_col: str, text_col: str, headers: str = r"EMENT
 
 def grounded_quotes(draft: Column, source: Column, least: int = 30, longest: int = 100) -> Column:
     """struct<grounded, quotes>: quotations of the draft, and those whose stripped beginning the source holds, both with every kind of quote made plain."""
-    glyphs = "“”„‟«»‹›‘’‚‛'`´′″"
-    found = F.regexp_extract_all(plain_quotes(draft, glyphs), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
-    held = F.filter(found, lambda x: F.contains(plain_quotes(source, glyphs), F.left(strip(x), F.lit(longest))))
+    found = F.regexp_extract_all(plain_quotes(draft), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
+    held = F.filter(found, lambda x: F.contains(plain_quotes(source), F.left(strip(x), F.lit(longest))))
     return F.struct(F.size(held).cast("long").alias("grounded"), F.size(found).cast("long").alias("quotes"))

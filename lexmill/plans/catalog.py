@@ -363,7 +363,7 @@ def evidence_span(spark, sf):
     return out.select("doc_id", F.coalesce("s.start", F.lit(-1)).cast("long").alias("start"), n.cast("long").alias("n"))
 
 
-@query("""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '“”„‟«»‹›‘’‚‛''`´′″', repeat('"', 17)) AS own FROM documents), q AS (SELECT doc_id, own, regexp_extract_all(own, '"([^"]{30,})"', 1) AS found FROM d)
+@query("""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '“”„‟«»‹›‘’‚‛''`´', repeat('"', 15)) AS own FROM documents), q AS (SELECT doc_id, own, regexp_extract_all(own, '"([^"]{30,})"', 1) AS found FROM d)
  SELECT doc_id, len(list_filter(found, lambda x: contains(own, left(trim(x, E' \\t\\n\\r\\f\\v'), 100)))) AS grounded, len(found) AS quotes FROM q""")
 def quotes_grounded(spark, sf):
     """Quotations of every document, with every kind of quote; zeros where nothing is quoted."""
