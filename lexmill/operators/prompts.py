@@ -47,3 +47,33 @@ def prompt_signatures(components: DataFrame) -> DataFrame:
     version = F.when(F.size("v") == 1, F.col("v")[0]).when(F.size("v") > 1, F.concat(F.lit("composite:"), F.array_join("v", ","))).otherwise(UNVERSIONED)
     return every.select("prompt", F.coalesce("components", F.lit(0)).alias("components"), version.alias("version"),
                         F.coalesce(F.sha2(F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n"), 256), F.lit("")).alias("sha256"))
+
+
+def user_content(task: Column, context: Column) -> Column:
+    """A task, after its context where there is any."""
+    own, more = strip(F.coalesce(task, F.lit(""))), strip(F.coalesce(context, F.lit("")))
+    return F.when(more == "", own).otherwise(F.concat(F.lit("[CONTEXTO ADICIONAL]\n"), more, F.lit("\n\n[TAREFA]\n"), own))
+
+
+def assemble_prompts(requests: DataFrame, components: DataFrame, stages: dict[str, str], with_references: tuple[str, ...] = (), minimal: str | None = None) -> DataFrame:
+    """(request_id, profile, messages array<struct<role, content>>) of requests(request_id, prompt, stage, task, context, references boolean or null).
+
+    Each request is joined with the components(prompt, component, content) of its prompt, one row a prompt: system_base and the component that `stages` names for its stage
+    (any case) make a modular prompt, with referencias_longas where the request asks for it or, where it says nothing, in the stages of with_references; where one of the two is missing or
+    blank the prompt's SYSTEM_PROMPT takes their place, else the minimal text, else there are no messages (profile `missing`).  The user's content comes last.
+    """
+    held = components.where(strip(F.coalesce("content", F.lit(""))) != "").groupBy("prompt").agg(F.map_from_entries(F.collect_list(F.struct("component", strip(F.col("content"))))).alias("held"))
+    got = lambda name: F.try_element_at("held", name)
+    stage = F.lower(F.trim("stage"))
+    own = F.coalesce(*(F.when(stage == k, F.lit(v)) for k, v in stages.items()), F.lit(""))
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    rows = requests.join(held, "prompt", "left").withColumns({"_base": got(F.lit("system_base")), "_stage": F.try_element_at("held", own), "_old": got(F.lit("SYSTEM_PROMPT")), "_more": got(F.lit("referencias_longas")),
+                                                              "_wants": F.coalesce("references", stage.isin(*with_references) if with_references else F.lit(False))})
+    modular = F.col("_base").isNotNull() & F.col("_stage").isNotNull()
+    user = message("user", user_content(F.col("task"), F.col("context")))
+    more = F.when(F.col("_wants") & F.col("_more").isNotNull(), F.array(message("developer", F.col("_more")))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
+    said = F.when(modular, F.concat(F.array(message("system", F.col("_base")), message("developer", F.col("_stage"))), more, F.array(user))).when(F.col("_old").isNotNull(), F.array(message("system", F.col("_old")), user))
+    profile = F.when(modular, "modular").when(F.col("_old").isNotNull(), "legacy-fallback")
+    if minimal is not None:
+        said, profile = F.coalesce(said, F.array(message("system", F.lit(minimal)), user)), F.coalesce(profile, F.lit("minimal-fallback"))
+    return rows.select("request_id", F.coalesce(profile, F.lit("missing")).alias("profile"), said.alias("messages"))

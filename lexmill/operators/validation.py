@@ -248,3 +248,9 @@ def case_extraction(docs: DataFrame) -> DataFrame:
     """(case_id, documents, quality, noise) means to three places over docs(case_id, quality, noise)."""
     return docs.groupBy("case_id").agg(F.count("*").alias("documents"), F.avg("quality").alias("q"), F.avg("noise").alias("n")).select(
         "case_id", "documents", round_even(F.coalesce("q", F.lit(0.0)), 3).alias("quality"), round_even(F.coalesce("n", F.lit(0.0)), 3).alias("noise"))
+
+
+def page_rotation(found: Column) -> Column:
+    """Degrees that a page is turned by, from what orientation detection says: 90, 180 or 270, else 0."""
+    angle = F.regexp_extract(F.coalesce(found, F.lit("")), r"(?i)Rotate:\s*(\d+)", 1).try_cast("int")
+    return F.when(angle.isin(90, 180, 270), angle).otherwise(0)

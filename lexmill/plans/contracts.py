@@ -224,6 +224,27 @@ def prompt_signatures(spark, sf):
     return PR.prompt_signatures(components(spark, sf))
 
 
+STAGES = {"etapa1": "user", "etapa2": "assistant"}
+
+
+@query(f"""WITH c AS ({_TURNS}), p AS (SELECT prompt, max(said) FILTER (component = 'system') AS sys, max(said) FILTER (component = 'user') AS usr, max(said) FILTER (component = 'assistant') AS ast FROM c GROUP BY 1),
+ r AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'Etapa1 ' WHEN 1 THEN 'etapa2' ELSE 'etapa9' END AS stage, CASE WHEN turn % 2 = 0 THEN role ELSE ' ' END AS context, CASE WHEN turn % 5 < 2 THEN turn % 5 = 0 END AS refs FROM conversations),
+ j AS (SELECT r.*, trim(sys, E' \\t\\n\\r\\f') AS sys, trim(CASE turn % 3 WHEN 0 THEN usr WHEN 1 THEN ast END, E' \\t\\n\\r\\f') AS dev, trim(ast, E' \\t\\n\\r\\f') AS more, trim(text, E' \\t\\n\\r\\f') AS own FROM r LEFT JOIN p ON p.prompt = r.conv_id)
+ SELECT conv_id * 100 + turn AS request_id, CASE WHEN sys IS NOT NULL AND dev IS NOT NULL THEN 'modular' ELSE 'minimal-fallback' END AS profile,
+ sha256(CASE WHEN sys IS NOT NULL AND dev IS NOT NULL THEN 'system:' || sys || '|developer:' || dev || CASE WHEN coalesce(refs, turn % 3 = 1) AND more IS NOT NULL THEN '|developer:' || more ELSE '' END ELSE 'system:min' END ||
+ '|user:' || CASE WHEN trim(context) = '' THEN own ELSE '[CONTEXTO ADICIONAL]' || {NL} || context || {NL} || {NL} || '[TAREFA]' || {NL} || own END) AS h FROM j""")
+def assembled_prompts(spark, sf):
+    turns = read(spark, sf, "conversations")
+    said = components(spark, sf)
+    refs = said.where("component = 'assistant'").withColumn("component", F.lit("referencias_longas"))
+    parts = said.withColumn("component", F.when(F.col("component") == "system", "system_base").otherwise(F.col("component"))).union(refs)
+    requests = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), F.col("conv_id").alias("prompt"), F.when(F.col("turn") % 3 == 0, "Etapa1 ").when(F.col("turn") % 3 == 1, "etapa2").otherwise("etapa9").alias("stage"),
+                            F.col("text").alias("task"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(" ").alias("context"), F.when(F.col("turn") % 5 < 2, F.col("turn") % 5 == 0).alias("references"))
+    out = PR.assemble_prompts(requests, parts, STAGES, ("etapa2",), "min")
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return out.select("request_id", "profile", F.sha2(text, 256).alias("h"))
+
+
 # --- pages and versions --------------------------------------------------------------------------
 
 TURNS = "SELECT conv_id AS doc_id, turn AS page, CASE WHEN conv_id % 3 = 0 THEN left(text, 15) WHEN conv_id % 3 = 1 THEN left(text, 4) ELSE text END AS text, 'first' AS engine FROM "

@@ -47,3 +47,18 @@ def metrics_markdown(metrics: DataFrame, title: str) -> DataFrame:
     """(place, line) of a report in Markdown over (metric, value) rows: a title, then a line each by name."""
     lines = metrics.select((F.row_number().over(W.orderBy("metric")) + 1).alias("place"), F.concat(F.lit("- "), "metric", F.lit(": "), F.format_string("%.4f", "value")).alias("line"))
     return metrics.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(f"# {title}").alias("line")).union(lines)
+
+
+def stage_events(rows: DataFrame, event: str, case: str, run: str, stage: str, ts: str, extra: list[str] = ()) -> DataFrame:
+    """(evento, processo_id, execucao_id, etapa, timestamp, payload): a row of the event table for each row; payload is JSON with all of these and the extra columns, keys in order, nulls left out."""
+    own = {"evento": F.lit(event), "processo_id": F.col(case).cast("string"), "execucao_id": F.col(run).cast("string"), "etapa": F.col(stage), "timestamp": F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")}
+    every = own | {c: F.col(c) for c in extra}
+    return rows.select(*(c.alias(k) for k, c in own.items()), F.to_json(F.struct(*(every[k].alias(k) for k in sorted(every)))).alias("payload"))
+
+
+def with_error_rows(done: DataFrame, failed: DataFrame, key: str, error: str, stage: str) -> DataFrame:
+    """(key, ok, stage, error) of an audit: a row for each case that is done, and one for each that failed with its stage and the error cut to 500 characters; a case of both is
+    failed."""
+    bad = failed.select(key, F.lit(False).alias("ok"), F.col(stage).alias("stage"), F.left(F.coalesce(error, F.lit("")), F.lit(500)).alias("error"))
+    good = done.join(bad.select(key), key, "left_anti").select(key, F.lit(True).alias("ok"), F.lit("").alias("stage"), F.lit("").alias("error"))
+    return good.union(bad)

@@ -313,3 +313,69 @@ def test_dashboard_reads_the_runs_once(spark, tmp_path):
     spark.createDataFrame(rows, RUNS).withColumn("cost", F.lit(1).cast("decimal(28,6)")).write.parquet(str(tmp_path / "runs"))
     plan = DB.dashboard_sums(spark.read.parquet(str(tmp_path / "runs")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+# --- prompt assembly, rotation, events -----------------------------------------------------------
+
+def test_prompt_assembly(spark):
+    parts = spark.createDataFrame([("p", "system_base", " base "), ("p", "dev1", "dev"), ("p", "referencias_longas", "refs"), ("q", "SYSTEM_PROMPT", "old"), ("q", "system_base", "base"), ("r", "dev1", " ")], "prompt string, component string, content string")
+    rows = [(1, "p", "Etapa1", " t ", None, None), (2, "p", "etapa1", "t", " c ", True), (3, "p", "etapa2", "t", "", None), (4, "q", "etapa1", "t", None, None), (5, "r", "etapa1", "t", None, None), (6, None, None, None, None, None)]
+    asked = spark.createDataFrame(rows, "request_id int, prompt string, stage string, task string, context string, references boolean")
+    got = {r.request_id: (r.profile, r.messages and [tuple(m) for m in r.messages]) for r in PR.assemble_prompts(asked, parts, {"etapa1": "dev1"}).collect()}
+    assert got[1] == ("modular", [("system", "base"), ("developer", "dev"), ("user", "t")])
+    assert got[2] == ("modular", [("system", "base"), ("developer", "dev"), ("developer", "refs"), ("user", "[CONTEXTO ADICIONAL]\nc\n\n[TAREFA]\nt")])
+    assert got[3] == ("missing", None) and got[4] == ("legacy-fallback", [("system", "old"), ("user", "t")]) and got[5] == ("missing", None) and got[6] == ("missing", None)
+    least = {r.request_id: r for r in PR.assemble_prompts(asked, parts, {"etapa1": "dev1"}, ("etapa1",), "min").collect()}
+    assert least[5].profile == "minimal-fallback" and len(least[1].messages) == 4
+
+
+def test_rotation(spark):
+    said = [("Page 1\nRotate: 90\n",), ("rotate:270",), ("Rotate: 45",), ("",), (None,), ("Rotate: 99999999999",)]
+    assert [r.x for r in spark.createDataFrame(said, "t string").select(V.page_rotation(F.col("t")).alias("x")).collect()] == [90, 270, 0, 0, 0, 0]
+
+
+def test_events_and_audit_rows(spark):
+    from lexmill.sources import sinks
+
+    rows = spark.sql("select 7L as case_id, 'e1' as run, 'etapa1' as stage, timestamp_ntz'2024-05-01 10:00:00' as ts, 3 as pages, cast(null as string) as note")
+    e = sinks.stage_events(rows, "extracao", "case_id", "run", "stage", "ts", ["pages", "note"]).first()
+    assert json.loads(e.payload) == {"etapa": "etapa1", "evento": "extracao", "execucao_id": "e1", "pages": 3, "processo_id": "7", "timestamp": "2024-05-01T10:00:00"}
+    assert list(json.loads(e.payload)) == sorted(json.loads(e.payload))
+    done, failed = spark.sql("select explode(array(1, 2)) as c"), spark.sql("select 2 as c, 'x' as what, 'etapa2' as at")
+    assert {tuple(r) for r in sinks.with_error_rows(done, failed, "c", "what", "at").collect()} == {(1, True, "", ""), (2, False, "etapa2", "x")}
+
+
+def test_final_decisions_and_hints(spark):
+    from lexmill.operators import decisions as D
+
+    rows = spark.createDataFrame([(1, "INCONCLUSIVO", "ADMITIDO", " texto ", ["Conflito", "conflito "], ["x"], ["a"], ["A", "b"]), (2, "INCONCLUSIVO", "", None, [], None, None, None), (3, "ADMITIDO", None, "minuta", ["f"], None, None, None),
+                                  (4, "INCONCLUSIVO", "INCONCLUSIVO", "AVISO: decisão muito inconclusiva", None, None, None, None)],
+                                 "case_id int, computed string, said string, draft string, grounds array<string>, given_grounds array<string>, given_items array<string>, collected_items array<string>")
+    got = {r.case_id: r for r in D.final_decisions(rows).collect()}
+    assert got[1].draft == f"AVISO: {D.WARNING} Motivo: Conflito\n\ntexto" and got[1].diverges and got[1].grounds == ["Conflito", "x"] and got[1].items == ["a", "b"] and got[1].reason == "Conflito"
+    assert got[2].draft == f"AVISO: {D.WARNING}" and got[2].reason == D.NO_GROUNDS and not got[2].diverges and got[2].warned
+    assert (got[3].draft, got[3].code, got[3].warned, got[3].decision) == ("minuta", "", False, "ADMITIDO") and got[4].draft == "AVISO: decisão muito inconclusiva"
+    none, some = F.array().cast("array<string>"), F.array(F.lit("a"), F.lit("b"))
+    assert one(spark, V.retry_hints(some, none, none)) == ["Fill in the missing fields: a | b"]
+    assert len(one(spark, V.retry_hints(none, none, none))) == 1 and len(one(spark, V.retry_hints(some, some, some, F.lit("bad")))) == 5
+
+
+def test_reports(spark, tmp_path):
+    from lexmill.sources import readers, sinks
+
+    for name, text in {"quality_gate_report_2.json": '{"passed": false, "generated_at": "2024-02-01"}', "quality_gate_report_1.json": '{"passed": true, "generated_at": "2024-01-01", "gates": []}', "quality_gate_report_3.json": "nope", "other.json": "{}"}.items():
+        (tmp_path / name).write_text(text)
+    got = [(r.file, r.passed) for r in readers.read_reports(spark, str(tmp_path)).orderBy("file").collect()]
+    assert got == [("quality_gate_report_1.json", True), ("quality_gate_report_2.json", False), ("quality_gate_report_3.json", None)]
+    for v, c in (("v1", "case_a"), ("v2", "case_b")):
+        (tmp_path / "golden" / v).mkdir(parents=True)
+        (tmp_path / "golden" / v / f"{c}.json").write_text('{"name": "n"}')
+    cases = readers.read_golden_cases(spark, str(tmp_path / "golden"), "name string").collect()
+    assert {(r.version, r.case, r.name) for r in cases} == {("v1", "case_a", "n"), ("v2", "case_b", "n")}
+    gates = spark.createDataFrame([("a", 0.9, 0.8, True), ("b", 0.1, 0.8, False)], "metric string, observed double, threshold double, passed boolean")
+    assert sinks.gate_report(gates).first().passed is False and sinks.gate_report(gates.limit(0)).first().passed is False
+    for run in ("r1", "r2", "r1"):
+        sinks.write_report(gates, str(tmp_path / "reports"), "gate", run)
+    assert spark.read.json(str(tmp_path / "reports")).groupBy("run").count().orderBy("run").collect() == [("r1", 2), ("r2", 2)]
+    lines = [r.line for r in sinks.metrics_markdown(gates.selectExpr("metric", "observed as value"), "Baseline").orderBy("place").collect()]
+    assert lines == ["# Baseline", "- a: 0.9000", "- b: 0.1000"]
