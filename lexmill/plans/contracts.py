@@ -64,12 +64,12 @@ STAGE2 = """CASE WHEN o_orderkey % 7 = 6 THEN 'no JSON' ELSE concat('{"temas": [
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 6 AND o_orderkey % 4 <> 0)
- SELECT o_orderkey, 1 AS idx, 'dano de ' || CAST(o_custkey AS VARCHAR) AS subject, NULL AS conclusion, 'Súmula 7,Súmula ' || CAST(o_custkey % 300 AS VARCHAR) AS obstacles, o_custkey % 9 AS page FROM o
- UNION ALL SELECT o_orderkey, 2, NULL, 'negado', NULL, NULL FROM o WHERE o_orderkey % 4 = 3""")
+ SELECT o_orderkey, 1 AS idx, 'dano de ' || CAST(o_custkey AS VARCHAR) AS subject, NULL AS conclusion, 'Súmula 7,Súmula ' || CAST(o_custkey % 300 AS VARCHAR) AS obstacles, CAST(o_custkey % 9 AS BIGINT) AS page FROM o
+ UNION ALL SELECT o_orderkey, 2, NULL, 'negado', NULL, -1 FROM o WHERE o_orderkey % 4 = 3""")
 def stage_two_payloads(spark, sf):
     themes = read(spark, sf, "orders").select("o_orderkey", F.posexplode(J.stage_two_themes(F.expr(STAGE2))).alias("at", "t"))
     return themes.select("o_orderkey", (F.col("at") + 1).alias("idx"), F.col("t.materia_controvertida").alias("subject"), F.col("t.conclusao_fundamentos").alias("conclusion"), F.array_join("t.obices_sumulas", ",").alias("obstacles"),
-                         F.try_element_at("t.evidencias_campos", F.lit("materia_controvertida"))["pagina"].alias("page"))
+                         F.coalesce(F.try_element_at("t.evidencias_campos", F.lit("materia_controvertida"))["pagina"], F.lit(-1)).alias("page"))
 
 
 STAGE3 = """concat('{"decisao": "', CASE o_orderstatus WHEN 'F' THEN 'ADMITIDO' ELSE 'INADMITIDO' END, '", "aviso_inconclusivo": ', CASE WHEN o_orderkey % 3 = 0 THEN 'true' WHEN o_orderkey % 3 = 1 THEN 'false' ELSE '"maybe"' END,
@@ -77,10 +77,10 @@ STAGE3 = """concat('{"decisao": "', CASE o_orderstatus WHEN 'F' THEN 'ADMITIDO'
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN CASE o_orderstatus WHEN 'F' THEN 'ADMITIDO' ELSE 'INADMITIDO' END END AS decision,
- CASE WHEN o_custkey % 10 <> 0 AND o_orderkey % 3 < 2 THEN o_orderkey % 3 = 0 END AS warned, CASE WHEN o_custkey % 10 <> 0 THEN 'f' || CAST(o_custkey % 5 AS VARCHAR) END AS grounds FROM orders""")
+ CASE WHEN o_custkey % 10 <> 0 AND o_orderkey % 3 < 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'false' END ELSE '' END AS warned, CASE WHEN o_custkey % 10 <> 0 THEN 'f' || CAST(o_custkey % 5 AS VARCHAR) END AS grounds FROM orders""")
 def stage_three_payloads(spark, sf):
     row = read(spark, sf, "orders").select("o_orderkey", J.payload_row(F.expr(STAGE3), J.STAGE_THREE).alias("p"))
-    return row.select("o_orderkey", F.col("p.decisao").alias("decision"), F.col("p.aviso_inconclusivo").alias("warned"), F.array_join("p.fundamentos_decisao", "|").alias("grounds"))
+    return row.select("o_orderkey", F.col("p.decisao").alias("decision"), F.coalesce(F.col("p.aviso_inconclusivo").cast("string"), F.lit("")).alias("warned"), F.array_join("p.fundamentos_decisao", "|").alias("grounds"))
 
 
 # --- merges --------------------------------------------------------------------------------------
@@ -149,14 +149,14 @@ def stage_one_checks(spark, sf):
 
 @query("""WITH d AS (SELECT doc_id, text, trim(substr(text, 1 + CAST(floor(length(text) / 2) AS BIGINT), 12), E' \\t\\n\\r\\f') AS value FROM documents),
  f AS (SELECT doc_id, value, strpos(lower(text), lower(value)) - 1 AS start, doc_id % 3 = 0 AS given, doc_id % 5 = 0 AS whole FROM d)
- SELECT doc_id, CASE WHEN given AND whole THEN 'given' WHEN value <> '' THEN CASE WHEN given THEN 'given' ELSE 'made' END WHEN given THEN 'given' END AS quote, CASE WHEN given AND whole THEN 7 WHEN value <> '' THEN start WHEN given THEN 7 END AS start FROM f""")
+ SELECT doc_id, CASE WHEN given AND whole THEN 'given' WHEN value <> '' THEN CASE WHEN given THEN 'given' ELSE 'made' END WHEN given THEN 'given' END AS quote, CASE WHEN given AND whole THEN 7 WHEN value <> '' THEN start ELSE -1 END AS start FROM f""")
 def evidence_backfill(spark, sf):
     """A quarter of what the middle of each document says as its field, with evidence given, in part or not at all."""
     value = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(12))
     whole = F.col("doc_id") % 5 == 0
     given = F.when(F.col("doc_id") % 3 == 0, F.struct(F.lit("given").alias("quote"), F.when(whole, F.lit(1)).alias("page"), F.when(whole, "a").otherwise("").alias("anchor"), F.when(whole, F.lit(7)).alias("start")))
     out = read(spark, sf, "documents").select("doc_id", V.backfilled(value, given, F.col("text")).alias("e"))
-    return out.select("doc_id", F.when(F.col("e.quote") == "given", "given").when(F.col("e.quote").isNotNull(), "made").alias("quote"), F.col("e.start").cast("long").alias("start"))
+    return out.select("doc_id", F.when(F.col("e.quote") == "given", "given").when(F.col("e.quote").isNotNull(), "made").alias("quote"), F.coalesce(F.col("e.start").cast("long"), F.lit(-1)).alias("start"))
 
 
 FINAL = """SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'ADMITIDO' WHEN 'O' THEN 'INADMITIDO' ELSE 'INCONCLUSIVO' END AS computed, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ADMITIDO' WHEN 2 THEN 'INADMITIDO' END AS said,
@@ -254,7 +254,7 @@ OCR = "SELECT conv_id AS doc_id, turn AS page, CASE WHEN conv_id % 2 = 0 THEN le
 @query(f"""WITH p AS ({TURNS} conversations), o AS ({OCR} conversations WHERE conv_id % 5 <> 0), s AS (SELECT doc_id, sum(length(text)) + count(*) - 1 AS c, count(*) AS n FROM p GROUP BY 1), t AS (SELECT doc_id, sum(length(text)) + count(*) - 1 AS oc FROM o GROUP BY 1),
  v AS (SELECT doc_id, coalesce((c < 100 OR CAST(c AS DOUBLE) / n < 20) AND oc > c, false) AS replaced FROM s LEFT JOIN t USING (doc_id)),
  k AS (SELECT doc_id, page, text, 'first' AS engine, replaced FROM p JOIN v USING (doc_id) WHERE NOT replaced UNION ALL SELECT doc_id, page, text, 'ocr', replaced FROM o JOIN v USING (doc_id) WHERE replaced)
- SELECT doc_id, sha256(string_agg(text, {NL} ORDER BY page)) AS h, count(*) AS n_pages, sum(length(text)) + count(*) - 1 AS n_chars, sha256(string_agg(sha256(text), '' ORDER BY page)) AS hashes FROM k GROUP BY 1""")
+ SELECT doc_id, sha256(string_agg(text, {NL} ORDER BY page)) AS h, count(*) AS n_pages, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS n_chars, sha256(string_agg(sha256(text), '' ORDER BY page)) AS hashes FROM k GROUP BY 1""")
 def page_documents(spark, sf):
     """Documents put together from pages, after the rule which of two extractions stays."""
     c = read(spark, sf, "conversations")

@@ -134,11 +134,13 @@ def test_dedup_query_reads_whole_texts(spark, tmp_path):
     given += [(900, 0, "u", "assunto novo primeiro caso " + head + "x" * 20), (900, 1, "u", "assunto novo primeira coisa " + head + " ".join(f"outra{i}" for i in range(90)))]
     df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string")
     df.write.parquet(f"{tmp_path}/conversations.parquet")
-    rows = df.select("conv_id", "turn", T.search_form(F.substring("text", 1, 60)).alias("subject"), T.search_form(F.col("text")).alias("text"), similarity.token_set(F.col("text")).alias("tokens"),
-                     F.length("text").alias("n")).orderBy("conv_id", "turn").collect()
+    first = lambda t: re.match("[^.!?\n]*", t).group()
+    told = lambda role, t: 2.0 * bool(first(t).strip()) + 2.0 * (role == "assistant") + (role == "system") + bool(re.search("[0-9]", t)) + (len(t) > 200)
+    forms = df.select("conv_id", "turn", "role", F.col("text").alias("said"), T.search_form(F.regexp_extract("text", r"^[^.!?\n]*", 0)).alias("subject"), T.search_form(F.col("text")).alias("text"), similarity.token_set(F.col("text")).alias("tokens"))
+    rows = forms.orderBy("conv_id", "turn").collect()
     kept = {}
     for r in rows:
-        own, row = kept.setdefault(r.conv_id, []), r.asDict() | {"obstacles": []}
+        own, row = kept.setdefault(r.conv_id, []), r.asDict() | {"obstacles": re.findall("[0-9]+", r.said), "n": told(r.role, r.said)}
         at = next((i for i, k in enumerate(own) if says_the_same(row, k)), None)
         if at is None:
             own.append(row)
