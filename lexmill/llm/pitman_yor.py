@@ -13,8 +13,10 @@ alike.  Predictive probabilities, averaged over the sweeps after burn-in, go bac
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,8 +34,10 @@ from .near_dedup import _WordHashes
 CONTEXTS = 1 << 16
 #: UTF-8 bytes and rows in a chunk (a longer text is a chunk of its own), text bytes for each bucket of words, and pairs that are merged at once.
 CHUNK_BYTES, CHUNK_ROWS, BUCKET_BYTES, GROUP_PAIRS = 8 << 20, 1 << 16, 8 << 20, 2_500_000
-#: Sweeps of the sampler, those of them before samples count, and customers of each dish of each restaurant that a sweep seats anew.
-SWEEPS, BURN_IN, RESEATED = 3, 1, 4
+#: Sweeps of the sampler, each of which seats all customers anew, and those of them before samples count.
+SWEEPS, BURN_IN = 3, 1
+#: Customers of a dish whose tables are drawn at once, customers of a larger dish that leave together (and most tables that are drawn at once), and chances in memory.
+DRAWN, BLOCK, CELLS = 2048, 512, 1 << 18
 #: Strengths of the context restaurants and of their parent.
 STRENGTH, PARENT_STRENGTH = 1.0, 10.0
 #: Values that no word has, as no word holds white space.
@@ -194,59 +198,140 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
-def reseat(customers: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount: float, steps: int, rng: np.random.Generator) -> np.ndarray:
-    """Tables after `steps` random customers of each dish have each left their table and been seated anew, given all others (Gibbs)."""
-    many = np.flatnonzero(customers > 1)
-    if not len(many):
-        return tables
-    c, t, b = customers[many], tables[many].copy(), weight[many]
-    room = t + steps
-    off = np.concatenate([[0], np.cumsum(room)])
-    first, size = off[:-1], np.zeros(off[-1], np.int64)
-    # Sizes given their number: one each, the rest dealt by gamma shares.
-    dish = np.repeat(np.arange(len(c)), t)
-    slot = np.repeat(first - (np.cumsum(t) - t), t) + np.arange(len(dish))
-    share = rng.standard_gamma(1 - discount, len(dish)) + 1e-12
-    extra = np.floor(share / np.bincount(dish, share)[dish] * (c - t)[dish]).astype(np.int64)
-    size[slot] = 1 + extra
-    size[first] += c - t - np.bincount(dish, extra).astype(np.int64)
-    for step in range(steps):
-        ends = np.cumsum(size)
-        start = ends[first] - size[first]
-        left = np.searchsorted(ends, start + np.floor(rng.random(len(c)) * c).astype(np.int64), "right")
-        size[left] -= 1
-        t -= size[left] == 0
-        rest = c - 1 - discount * t
-        draw = rng.random(len(c)) * (b + rest)
-        new = draw < b
-        worth = np.cumsum(np.where(size > 0, size - discount, 0))
-        to = np.searchsorted(worth, worth[first] - np.where(size[first] > 0, size[first] - discount, 0) + draw - b, "right")
-        to = np.clip(to, first, off[1:] - 1)
-        # Where rounding points at an empty place: the table of some customer, by size alone.
-        ends = np.cumsum(size)
-        start = ends[first] - size[first]
-        by_size = np.searchsorted(ends, start + np.floor(rng.random(len(c)) * (c - 1)).astype(np.int64), "right")
-        to = np.where(size[to] > 0, to, by_size)
-        to = np.where(new, first + room - steps + step, to)
-        size[to] += 1
-        t += new
-    out = tables.copy()
-    out[many] = t
+@lru_cache(4)
+def _law(discount: float, rows: int, cols: int) -> np.ndarray:
+    """Logarithm of the weight of all seatings of c customers (row) at t tables (column), where a new table weighs 1 and one of the dish's its size less the discount."""
+    out, t = np.full((rows + 1, cols + 1), -np.inf), np.arange(1, cols + 1)
+    out[0, 0] = 0
+    with np.errstate(divide="ignore"):
+        for c in range(1, rows + 1):
+            out[c, 1:] = np.logaddexp(out[c - 1, :-1], out[c - 1, 1:] + np.log(np.maximum(c - 1 - discount * t, 0)))
     return out
 
 
+def _pick(log: np.ndarray, rng: np.random.Generator) -> int:
+    sums = np.cumsum(np.exp(log - log.max()))
+    return int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
+
+
+def _drawn(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of 1..DRAWN customers, from their law given the weights; 0 where that goes on beyond BLOCK tables."""
+    law, out = _law(discount, DRAWN, BLOCK), np.zeros(len(customers), np.int64)
+    order = np.argsort(customers, kind="stable")
+    sizes, a = customers[order], 0
+    while a < len(order):
+        most = int(sizes[a] + sizes[a] // 4)
+        width = min(BLOCK, most)
+        b = min(int(np.searchsorted(sizes, most, "right")), a + max(1, CELLS // width))
+        x = law[sizes[a:b], 1 : width + 1] + np.log(weight[order[a:b]])[:, None] * np.arange(1, width + 1)
+        x = np.exp(x - x.max(1, keepdims=True))
+        # The law has one peak and its logarithm is concave, so what follows a chance as small is smaller still.
+        whole = (sizes[a:b] <= width) | (x[:, -1] < 1e-17)
+        np.cumsum(x, 1, out=x)
+        out[order[a:b]] = np.where(whole, 1 + (x < (rng.random(b - a) * x[:, -1])[:, None]).sum(1), 0)
+        a = b
+    return out
+
+
+def _apart(weight: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithm of the weight of all seatings of 0..BLOCK customers (columns) at new tables alone, over the factorial of their number, for each weight of a new table."""
+    fall = np.cumprod(np.concatenate([[1.0], (np.arange(1, BLOCK) - discount) / np.arange(1, BLOCK)]))[::-1].copy()
+    kept, scale = np.zeros((len(weight), BLOCK + 1)), np.zeros(len(weight))
+    kept[:, 0] = 1
+    out = np.zeros_like(kept)
+    for i in range(1, BLOCK + 1):
+        kept[:, i] = weight / i * (kept[:, :i] @ fall[BLOCK - i :])
+        out[:, i] = np.log(kept[:, i]) + scale
+        large = kept[:, i] > 1e100
+        kept[large] *= 1e-100
+        scale[large] += 100 * math.log(10)
+    return out
+
+
+def _sizes(c: int, t: int, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes of the t tables of c customers: backwards, who opened a table, then forwards, where the others sat down."""
+    law, left, opens = _law(discount, DRAWN, BLOCK), t, np.zeros(c, bool)
+    for i, u in zip(range(c, 0, -1), rng.random(c).tolist(), strict=True):
+        if u < math.exp(law[i - 1, left - 1] - law[i, left]):
+            opens[i - 1] = True
+            left -= 1
+    out, t = np.zeros(t, np.int64), 0
+    for i, new in enumerate(opens.tolist()):
+        if new:
+            out[t] = 1
+            t += 1
+        else:
+            seats = np.cumsum(out[:t] - discount)
+            out[min(int(np.searchsorted(seats, rng.random() * (i - discount * t), "right")), t - 1)] += 1
+    return out
+
+
+def _reseat_blocks(sizes: np.ndarray, weight: float, apart: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes of a dish's tables after each of its customers has left once and been seated anew, BLOCK at a time, given all others."""
+    law, old, new, ahead = _law(discount, DRAWN, BLOCK), sizes, np.zeros_like(sizes), int(sizes.sum())
+    while ahead:
+        m = min(BLOCK, ahead)
+        gone = np.searchsorted(np.cumsum(old), rng.choice(ahead, m, replace=False, shuffle=False), "right")
+        old, ahead = old - np.bincount(gone, minlength=len(old)), ahead - m
+        stays = old + new > 0
+        old, new = old[stays], new[stays]
+        rest, at = old + new, np.arange(m)
+        with np.errstate(divide="ignore"):
+            join = np.cumsum(np.log((rest.sum() - discount * len(rest) + at) / (at + 1)))
+        fresh = _pick(np.concatenate([join[::-1], [0]]) + apart[: m + 1], rng)
+        if fresh < m:
+            share = rng.standard_gamma(rest - discount)
+            new = new + rng.multinomial(m - fresh, share / share.sum())
+        if fresh:
+            t = 1 + _pick(law[fresh, 1 : fresh + 1] + math.log(weight) * np.arange(1, fresh + 1), rng)
+            old, new = np.concatenate([old, np.zeros(t, np.int64)]), np.concatenate([new, _sizes(fresh, t, discount, rng)])
+    return new
+
+
+def reseat(customers: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount: float, passes: int, rng: np.random.Generator, held: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Tables after all customers of each dish have, `passes` times, left their tables and been seated anew (Gibbs).
+
+    The tables of a dish of up to DRAWN customers are drawn at once from their law given the weights.  Those of a larger dish, or of one
+    whose law goes on beyond BLOCK tables, leave in blocks, each customer once a pass.  held takes the sizes of such a dish's tables on to the next call;
+    without them a pass starts from sizes dealt by gamma shares.
+    """
+    out, held = tables.copy(), {} if held is None else held
+    for _ in range(passes):
+        few = np.flatnonzero((customers > 1) & (customers <= DRAWN))
+        drawn = _drawn(customers[few], weight[few], discount, rng)
+        out[few] = np.where(drawn > 0, drawn, out[few])
+        large = np.concatenate([few[drawn == 0], np.flatnonzero(customers > DRAWN)])
+        for at in range(0, len(large), 256):
+            part = large[at : at + 256]
+            for k, apart in zip(part.tolist(), _apart(weight[part], discount), strict=True):
+                if k not in held:
+                    share = rng.standard_gamma(1 - discount, out[k]) + 1e-12
+                    held[k] = 1 + rng.multinomial(customers[k] - out[k], share / share.sum())
+                held[k] = _reseat_blocks(held[k], float(weight[k]), apart, discount, rng)
+                out[k] = len(held[k])
+    return out
+
+
+def _start(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables from which reseat starts: one a dish, and a first seating of those dishes that may be seated in blocks."""
+    tables, large = np.minimum(customers, 1), customers > BLOCK
+    tables[large] = seat(customers[large], weight[large], discount, rng)
+    return tables
+
+
 def sweeps(bucket: int, c: Counts, model: Model, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tables of the pairs, and customers and tables of the parent's dishes, after each of the sweeps 1..upto; sweep k rests on the totals after k - 1."""
     word = np.repeat(np.arange(len(c.w)), c.n)
     tables, customers, parents = np.minimum(c.cnt, 1), c.n, np.minimum(c.n, 1)
+    held: dict[int, np.ndarray] = {}
     for k in range(1, upto + 1):
         rng, last = np.random.default_rng((bucket, k)), model.sweeps[k - 1]
         weight = (STRENGTH + model.discount * last.tables[c.ctx]) * model.parent(last, customers, parents)[word]
-        tables = seat(c.cnt, weight, model.discount, rng) if k == 1 else tables
-        tables = reseat(c.cnt, tables, weight, model.discount, RESEATED, rng)
+        tables = _start(c.cnt, weight, model.discount, rng) if k == 1 else tables
+        tables = reseat(c.cnt, tables, weight, model.discount, 1, rng, held)
         customers = np.bincount(word, tables, minlength=len(c.w)).astype(np.int64)
         above = np.full(len(c.w), (PARENT_STRENGTH + model.parent_discount * last.parent_tables) / (model.words + 1))
-        parents = reseat(customers, seat(customers, above, model.parent_discount, rng), above, model.parent_discount, RESEATED, rng)
+        parents = reseat(customers, _start(customers, above, model.parent_discount, rng), above, model.parent_discount, 1, rng)
         yield tables, customers, parents
 
 

@@ -117,3 +117,47 @@ def test_seats_of_large_dishes_take_few_steps():
 def test_packing_round_trips():
     for v in (np.arange(1000, dtype=np.uint64) * 12345, np.zeros(0, np.uint16), np.array([1.5, -2], np.float32)):
         assert (P.unpack(P.pack(v), v.dtype.type) == v).all()
+
+
+def mean_of_tables(c, weight, d):
+    """Mean number of tables of c customers by their law, by rows of logarithms."""
+    row = np.array([0.0])
+    for i in range(1, c):
+        with np.errstate(divide="ignore"):
+            row = np.logaddexp(np.append(row, -np.inf) + np.log(np.maximum(i - d * np.arange(1, i + 2), 0)), np.concatenate([[-np.inf], row + math.log(weight)]))
+    p = np.exp(row - row.max())
+    return (p * np.arange(1, c + 1)).sum() / p.sum()
+
+
+def test_one_pass_seats_all_customers_anew():
+    rng, weight, d = np.random.default_rng(7), 3.0, 0.6
+    for c in (40, 700):
+        for start in (1, c):
+            tables = P.reseat(np.full(3000, c), np.full(3000, start), np.full(3000, weight), d, 1, rng)
+            assert abs(tables.mean() - mean_of_tables(c, weight, d)) < 0.2
+    tables = P.reseat(np.full(20_000, 6), np.ones(20_000, np.int64), np.full(20_000, 1.7), 0.4, 1, rng)
+    want = law_of_tables(6, 1.7, 0.4)
+    assert max(abs((tables == t).mean() - want[t]) for t in want) < 0.015
+
+
+@pytest.mark.parametrize("start", [1, 30])
+def test_blocks_of_customers_keep_the_law(monkeypatch, start):
+    monkeypatch.setattr(P, "DRAWN", 8)
+    monkeypatch.setattr(P, "BLOCK", 7)
+    rng, n, c, d = np.random.default_rng(8), 80, 30, 0.6
+    for weight in (0.8, 9.0):
+        tables, held, seen = np.full(n, start), {}, []
+        for _ in range(36):
+            tables = P.reseat(np.full(n, c), tables, np.full(n, weight), d, 1, rng, held)
+            seen.append(tables)
+        seen, want = np.concatenate(seen[16:]), law_of_tables(c, weight, d)
+        assert max(abs((seen == t).mean() - want[t]) for t in want) < 0.06
+
+
+def test_wide_laws_go_to_blocks_and_large_weights_stay_finite():
+    rng = np.random.default_rng(9)
+    customers, weight, held = np.array([2000, 5000, 300]), np.array([3000.0, 20_000.0, 1e6]), {}
+    tables = P.reseat(customers, np.ones(3, np.int64), weight, 0.7, 3, rng, held)
+    assert sorted(held) == [0, 1] and [held[k].sum() for k in (0, 1)] == [2000, 5000] and [len(held[k]) for k in (0, 1)] == tables[:2].tolist()
+    for c, w, t in zip(customers, weight, tables, strict=True):
+        assert abs(t - mean_of_tables(int(c), w, 0.7)) < 0.05 * c
