@@ -35,6 +35,8 @@ BAND_ROWS = 4
 SLACK = 0.25
 #: Members in a block of the exact comparison inside a leader's group, and their shingles (both on average; a longer document has a block of its own size).
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Rows, hashes and shingles that a task works on at once: what it computes from them would else take some hundred MB in each Python worker.
+ROWS, HASHES, COLUMNS = 1024, 512, 1024
 #: A band or leader with more rows than LIGHT has its joins dealt over SALT tasks.
 LIGHT, SALT = 512, 64
 
@@ -44,10 +46,10 @@ _SEEDS = np.random.default_rng(20240601).integers(1, 2**63, REGISTERS, dtype=np.
 
 
 class _WordHashes(dict):
-    """64-bit hash of each word, kept for words seen lately."""
+    """64-bit hash of each word, kept for words seen lately (some 15 MB of them)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -77,8 +79,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 def setsketch(shingles: np.ndarray) -> np.ndarray:
     """SetSketch registers (uint16) of a set; the registers of a union are the element-wise maximum."""
     low = np.full(REGISTERS, 2**32 - 1, np.uint32)
-    for at in range(0, len(shingles), 4096):
-        h = (shingles[at : at + 4096, None] ^ _SEEDS) * _MIX
+    for at in range(0, len(shingles), HASHES):
+        h = (shingles[at : at + HASHES, None] ^ _SEEDS) * _MIX
         h ^= h >> np.uint64(32)
         h *= _MIX
         np.minimum(low, (h >> np.uint64(32)).astype(np.uint32).min(0), out=low)
@@ -90,6 +92,10 @@ def setsketch(shingles: np.ndarray) -> np.ndarray:
 
 def likelihood_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Joint maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes (rows are pairs)."""
+    return np.concatenate([np.zeros(0), *(_likelihood(*(x[at : at + ROWS] for x in (a, b, n_a, n_b))) for at in range(0, len(a), ROWS))])
+
+
+def _likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     plus, minus = (a > b).sum(1), (a < b).sum(1)
     same = REGISTERS - plus - minus
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
@@ -101,9 +107,17 @@ def likelihood_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return grid[np.arange(len(grid)), score.argmax(1)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ROWS; at the end, what Arrow holds unused goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def _sketch_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, count, digest, regs, bands = [], [], [], [], []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), width)
@@ -127,7 +141,7 @@ def _sketch_batches(width: int):
 
 def _set_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py(), width).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
@@ -153,9 +167,11 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     keep = df[code] > 1
     owner, code = owner[keep], np.unique(code[keep], return_inverse=True)[1]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(code.max(initial=-1)) + 1, 8192):
-        part = (code >= at) & (code < at + 8192)
-        m = np.zeros((len(sets), 8192), np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for at in range(0, int(code.max(initial=-1)) + 1, COLUMNS):
+        part = slice(*np.searchsorted(code, [at, at + COLUMNS]))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
         m[owner[part], code[part] - at] = 1
         out += m @ m.T
     return out
