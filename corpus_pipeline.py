@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.bpe import encode_documents
+from lexmill.llm.bpe import encode_sliced
 from lexmill.llm.common import cut, table, text_or_empty
 from lexmill.llm.decontamination import contaminated_documents
 from lexmill.llm.exact_dedup import exact_duplicates
@@ -75,7 +75,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their decoded text."""
-    return encode_documents(docs, public_tokenizers.path(TOKENIZER))
+    return encode_sliced(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("bpe", bpe)]

@@ -14,7 +14,7 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -312,6 +312,21 @@ def bpe_code(spec: Broadcast, text: Column) -> Column:
     return code(text)
 
 
+def _coded_batches(spec: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of an id and a text, those of the id, tokens and decoded text: a batch for some texts at a time, so that neither the worker nor the executor holds a whole batch's results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in _slices(batch.column(1)):
+                coded = _of(spec).code(some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), _ids([c[0] for c in coded]), pa.array([c[1] for c in coded], pa.string())], ["doc_id", "ids", "decoded"])
+                at += len(some)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def bpe_encode(spec: Broadcast, text: Column) -> Column:
     """array<int> of token ids; null counts as empty and gives an empty array.  Any length is encoded whole."""
 
@@ -341,3 +356,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
     spec = load_tokenizer(docs.sparkSession, tokenizer)
     return docs.select(F.col(id_col).alias("doc_id"), bpe_code(spec, F.col(text_col)).alias("c")).select("doc_id", "c.ids", "c.decoded")
+
+
+def encode_sliced(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows and columns of encode_documents, from workers that return some texts at a time: for wide results that are written whole."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_coded_batches(load_tokenizer(docs.sparkSession, tokenizer)), f"doc_id {kind}, ids array<int>, decoded string")

@@ -4,6 +4,7 @@ import json
 import random
 
 import public_tokenizers
+import pyarrow as pa
 from lexmill.llm import bpe
 from tokenizers import Tokenizer
 
@@ -38,3 +39,19 @@ def test_plan_codes_each_text_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and plan.count("code(text") == 1
     assert {r.doc_id: (len(r.ids), r.decoded) for r in coded.collect()} == {1: (2, "one</w> two</w>"), 2: (0, "")}
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_results_leave_a_worker_some_texts_at_a_time(spark):
+    spec = bpe.load_tokenizer(spark, PATH)
+    texts = [None if i % 50 == 0 else f"text {i} of them" for i in range(2500)]
+    batch = pa.record_batch([pa.array([f"k{i}" for i in range(2500)]), pa.array(texts)], ["doc_id", "text"])
+    out = list(bpe._coded_batches(spec)(iter([batch])))
+    assert [b.num_rows for b in out] == [1000, 1000, 500]
+    rows = pa.Table.from_batches(out).to_pylist()
+    model = bpe._of(spec)
+    assert [r["doc_id"] for r in rows] == batch.column(0).to_pylist()
+    assert all(r["ids"] == model.encode(t or "") for r, t in zip(rows, texts, strict=True))
+    df = spark.createDataFrame([(1, "One two"), (None, None), (1, "é")], "doc_id long, text string")
+    both = [f(df, PATH) for f in (bpe.encode_documents, bpe.encode_sliced)]
+    assert both[0].dtypes == both[1].dtypes and sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
+    assert bpe.encode_sliced(df.limit(0), PATH).count() == 0
