@@ -25,8 +25,9 @@ UNITS = ("mm cm dm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr ms kb
          "years dollar dollars euro euros cent cents degree degrees").split()
 
 #: A name: capitalised words inside a sentence (after a word or a comma); at the start of a text, line or sentence two at least.
-_NAME = r"(?=\p{Lu})(?:(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*|(?<=^|\n|[.!?:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"
-_NUMBER = r"\d+(?:[.,:/]\d+)*"
+#: Repeated groups are possessive: Java's matcher recurses once for each turn of any other, and a run of some thousand names or numbers overflows its thread's stack, which ends the executor.
+_NAME = r"(?=\p{Lu})(?:(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+|(?<=^|\n|[.!?:] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)++)"
+_NUMBER = r"\d+(?:[.,:/]\d+)*+"
 _UNIT = rf"(?<=\d ?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}|[%€$£°]C?)(?![\p{{L}}\p{{N}}])"
 #: Marks before a name, unit or number, and after any of them (private-use characters; a text's own are dropped).
 _VALUE_MARKS = ("\ue000", "\ue001", "\ue002")
