@@ -33,6 +33,12 @@ def round_even(x: Column, places: int) -> Column:
     return let(x.cast("double"), of)
 
 
+def round_scaled(x: Column, places: int) -> Column:
+    """x to some places as SQL engines do it: the rounded product with 10 ** places, ties away from zero, over that power (Spark's own round looks at the decimal form)."""
+    scale = float(10**places)
+    return F.round(x.cast("double") * scale, 0) / scale
+
+
 def round_even_sql(x: str, places: int) -> str:
     """The same in SQL, for an expression without side effects."""
     scale, a = f"CAST({10**places} AS DOUBLE)", f"abs(CAST({x} AS DOUBLE))"

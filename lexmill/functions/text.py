@@ -7,12 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
+from .rounding import round_scaled
 
-_EDGE = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
+#: What strip() takes for blanks, inside a character class.
+BLANK = r"\s\x{00A0}"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
+def strip_of(c: Column, blank: str) -> Column:
+    """strip() of other blanks, given as the inside of a character class."""
+    return F.regexp_replace(c, rf"^[{blank}]+|[{blank}]+\z", "")
 
 
 def lines(text: Column) -> Column:
@@ -25,7 +32,7 @@ def unify_space(text: Column) -> Column:
 
 
 def is_noise(line: Column, patterns: list[str] = lx.NOISE_LINES) -> Column:
-    return line.rlike(rf"(?iu)^\s*(?:{'|'.join(f'(?:{p})' for p in patterns)})\s*$")
+    return line.rlike(rf"(?iu)^\s*(?:{'|'.join(f'(?:{p})' for p in patterns)})\s*\z")
 
 
 def is_protected(line: Column, pattern: str = lx.PROTECTED_LINE) -> Column:
@@ -37,25 +44,25 @@ def tidy(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(text, r"(?m)^[ \t]*\d{1,4}[ \t]*$", ""), r"\n{3,}", "\n\n"))
 
 
-def useful_lines(text: Column) -> Column:
-    return F.filter(F.transform(lines(text), lambda x: strip(x)), lambda x: x != "")
+def useful_lines(text: Column, blank: str = BLANK) -> Column:
+    return F.filter(F.transform(lines(text), lambda x: strip_of(x, blank)), lambda x: x != "")
 
 
-def quality(text: Column) -> Column:
+def quality(text: Column, blank: str = BLANK, noise: list[str] = lx.NOISE_LINES) -> Column:
     """0.45 alphanumeric share + 0.40 share of useful lines (20 characters and no noise) + 0.15 share of unique lines, to three places; blank text 0."""
-    own = useful_lines(text)
+    own = useful_lines(text, blank)
     n = F.greatest(F.size(own), F.lit(1))
     alnum = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) / F.greatest(F.length(text), F.lit(1))
-    good = F.size(F.filter(own, lambda x: (F.length(x) >= 20) & ~is_noise(x))) / n
+    good = F.size(F.filter(own, lambda x: (F.length(x) >= 20) & ~is_noise(x, noise))) / n
     unique = F.size(F.array_distinct(own)) / n
-    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.45 * alnum + 0.40 * good + 0.15 * unique)), 3)
+    score = round_scaled(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.45 * alnum + 0.40 * good + 0.15 * unique)), 3)
     return F.when(F.size(own) == 0, 0.0).otherwise(score)
 
 
-def noise_ratio(text: Column) -> Column:
+def noise_ratio(text: Column, blank: str = BLANK, noise: list[str] = lx.NOISE_LINES) -> Column:
     """Share of noise among non-blank lines, to three places; 1 without any."""
-    own = useful_lines(text)
-    return F.when(F.size(own) == 0, 1.0).otherwise(F.round(F.size(F.filter(own, lambda x: is_noise(x))) / F.size(own), 3))
+    own = useful_lines(text, blank)
+    return F.when(F.size(own) == 0, 1.0).otherwise(round_scaled(F.size(F.filter(own, lambda x: is_noise(x, noise))) / F.size(own), 3))
 
 
 def search_form(text: Column) -> Column:
