@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import plain_quotes, strip
+from .text import BLANK, plain_quotes, strip, strip_of
 
 DASH = r"[:\-–—]"
 #: A theme's field ends before a line that begins with a letter, whatever its case.
@@ -146,10 +146,10 @@ def names_subject(draft: Column, subject: Column, longer: int, first: int | None
     return F.exists(words, lambda w: F.contains(F.upper(draft), F.upper(w)))
 
 
-def strange_quotes(draft: Column, source: Column, least: int = 30, longest: int = 100) -> Column:
+def strange_quotes(draft: Column, source: Column, least: int = 30, longest: int = 100, blank: str = BLANK) -> Column:
     """array<string>: quotations of the draft whose stripped beginning the source doesn't hold, with every kind of quote made plain."""
     found = F.regexp_extract_all(plain_quotes(draft), F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
-    return F.filter(F.transform(found, lambda q: F.left(strip(q), F.lit(longest))), lambda q: ~F.contains(plain_quotes(source), q))
+    return F.filter(F.transform(found, lambda q: F.left(strip_of(q, blank), F.lit(longest))), lambda q: ~F.contains(plain_quotes(source), q))
 
 
 def block_reason(error: Column) -> Column:

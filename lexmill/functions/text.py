@@ -22,6 +22,20 @@ def strip_of(c: Column, blank: str) -> Column:
     return F.regexp_replace(c, rf"^[{blank}]+|[{blank}]+\z", "")
 
 
+def _simple_case() -> dict[str, str]:
+    """Characters whose upper case is several characters, with the one that stands for it (most often themselves)."""
+    return {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1}
+
+
+_SIMPLE_CASE = _simple_case()
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case character by character, so that none becomes several (`ß` becomes `ẞ`)."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "".join(_SIMPLE_CASE), "".join(_SIMPLE_CASE.values())))
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
