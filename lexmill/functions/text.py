@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
-from .rounding import round_scaled
+from .rounding import let, round_scaled
 
 #: What strip() takes for blanks, inside a character class.
 BLANK = r"\s\x{00A0}"
@@ -36,6 +36,11 @@ def upper_each(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def lower_each(text: Column) -> Column:
+    """Lower case character by character, wherever it stands."""
+    return F.lower(F.translate(text, "İΣ", "iσ"))
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -178,16 +183,29 @@ def page_at(text: Column, start: Column) -> Column:
     return F.when(F.contains(text, F.lit("\f")), feeds + 1).otherwise(F.coalesce(F.greatest(said, F.lit(1)), F.lit(1)))
 
 
+def span_by_case(text: Column, term: Column) -> Column:
+    """struct<start, end> of the term in the text where both are in lower case, character by character, are equal; null if absent or empty."""
+    at = F.instr(lower_each(text), lower_each(term)) - 1
+    return F.when((term != "") & (at >= 0), F.struct(at.alias("start"), (at + F.length(term)).alias("end")))
+
+
 def evidence(text: Column, term: Column, around: int = 60, longest: int = 180, wide: int = 80, most: int = 280) -> Column:
     """struct<quote, page, anchor, start>: where a literal stands in its source.  The quote is its line or lines, or `wide` characters
     around it where those are longer than `most`; the anchor has `around` characters on both sides, cut to `longest`."""
-    s = span(text, term)
-    start, end = s["start"], s["end"]
-    one_line = lambda n: strip(F.regexp_replace(F.substring(text, F.greatest(start - n, F.lit(0)) + 1, end + n - F.greatest(start - n, F.lit(0))), r"(?U)\s+", " "))
-    middle = F.substring(text, start + 1, end - start)
-    line = strip(F.concat(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1), middle, F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)))
-    quote = F.when(F.length(line) > most, one_line(wide)).otherwise(line)
-    return F.when(s.isNotNull(), F.struct(quote.alias("quote"), page_at(text, start).alias("page"), F.left(one_line(around), F.lit(longest)).alias("anchor"), start.alias("start")))
+    return evidence_at(text, span(text, term), around, longest, wide, most)
+
+
+def evidence_at(text: Column, found: Column, around: int = 60, longest: int = 180, wide: int = 80, most: int = 280, blank: str = BLANK, run: str = r"(?U)\s+", edge: str = BLANK) -> Column:
+    """evidence() of a span that was found already; blank and edge: what is stripped off the ends of lines, and of text where each match of run became one space."""
+    def of(s: Column) -> Column:
+        start, end = s["start"], s["end"]
+        one_line = lambda n: strip_of(F.regexp_replace(F.substring(text, F.greatest(start - n, F.lit(0)) + 1, end + n - F.greatest(start - n, F.lit(0))), run, " "), edge)
+        middle = F.substring(text, start + 1, end - start)
+        line = strip_of(F.concat(F.substring_index(F.substring(text, F.lit(1), start), "\n", -1), middle, F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)), blank)
+        quote = let(line, lambda own: F.when(F.length(own) > most, one_line(wide)).otherwise(own))
+        return F.when(s.isNotNull(), F.struct(quote.alias("quote"), page_at(text, start).alias("page"), F.left(one_line(around), F.lit(longest)).alias("anchor"), start.alias("start")))
+
+    return let(found, of)
 
 
 def quotations(text: Column, least: int = 30) -> Column:

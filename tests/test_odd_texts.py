@@ -27,7 +27,7 @@ def odd(spark, tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", ["text_quality", "quotes_against_source"])
+@pytest.mark.parametrize("name", ["text_quality", "quotes_against_source", "evidence_rows"])
 def test_odd_documents_as_in_sql(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{odd}/documents.parquet/*.parquet')")
