@@ -45,3 +45,12 @@ def test_language_gate(spark, tmp_path):
     assert len([i for i in range(n + u, len(rows)) if i in kept]) < 0.05 * (len(rows) - n - u)
     assert corpus_pipeline.language(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.language(spark, docs.where("lang is null"), str(tmp_path)).count() == 0
+
+
+def test_decontaminate_holds_long_runs(spark, tmp_path):
+    # A run of names or numbers ended the executor in this stage.
+    leak = "this passage of the benchmark stands in a document and has to be found there by the stage"
+    runs = [" ".join(["Alpha Beta"] * 20_000), "12," * 40_000 + "12"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*runs, *(f"{leak} {r}" for r in runs)])], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [0, 1]
