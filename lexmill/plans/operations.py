@@ -10,7 +10,7 @@ from ..operators import analytics as A
 from ..operators import dashboard as DB
 from ..operators import idempotency as I
 from ..operators import similarity as S
-from ..operators.set_join import set_classes, similar_classes
+from ..operators.set_join import counted_classes, similar_in_large_keys
 from ..sources.scratch import written
 from .catalog import STOP, events, query, read
 
@@ -43,11 +43,10 @@ def idempotent_replay(spark, sf):
 def similar_turns(spark, sf):
     """Pairs of similar turns among all turns of one role (three keys hold the whole table): one row for two classes of equal turns, with how many each has."""
     rows = read(spark, sf, "conversations").select("role", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), S.token_set(F.col("text")).alias("tokens"))
-    classes, members = set_classes(rows, "role", "id", "tokens")
-    classes = written(classes)
-    copies = written(members.groupBy("key", "rep").agg(F.count("*").alias("copies")))
+    classes = written(counted_classes(rows, "role", "id", "tokens"))
+    copies = classes.select("key", "rep", "copies")
     side = lambda name: copies.select("key", F.col("rep").alias(name), F.col("copies").alias(f"copies_{name}"))
-    met = similar_classes(classes, 0.2).join(side("left"), ["key", "left"]).join(side("right"), ["key", "right"])
+    met = similar_in_large_keys(classes, 0.2).join(side("left"), ["key", "left"]).join(side("right"), ["key", "right"])
     return met.select(F.col("key").alias("role"), "left", "right", "copies_left", "copies_right", F.round("jaccard", 6).alias("jaccard"))
 
 
